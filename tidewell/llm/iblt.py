@@ -5,8 +5,8 @@ bits of its hash with 24 check bits of those below, so the XOR of several digest
 has 24 cells in three rows of 8; each digest goes, by XOR, to one cell of each row. Sketches of two versions subtract
 by XOR: digests in both cancel out. A cell that passes its check holds one differing digest; taking that one out of its
 other cells may lay bare further ones (peeling). If cells remain, the versions differ by more than a sketch can hold, and
-a larger one is tried: 2^k sketches, each for the digests of its share (further bits tell which). After three enlargements the digests, which are
-at hand, are compared as sets. Paragraphs count once, however often they occur.
+a larger one is tried: 2^k sketches, each for the digests of its share (further bits tell which). Shares that still do
+not peel are enlarged eightfold, twice at most; then the share's digests, which are at hand, are compared as sets. Paragraphs count once, however often they occur.
 
 Null texts count as empty; an empty text has no paragraph and a sketch of zeros. Two texts without paragraphs are alike
 by 1. Ids are ordered with nulls last; rows of one id by their text's hash. Equal rows stay rows of their own.
@@ -27,7 +27,6 @@ CHECK = (1 << 24) - 1
 _MASK = [(ROW - 1) << (24 + 3 * (i // ROW)) for i in range(3 * ROW)]
 _PLACE = [(i % ROW) << (24 + 3 * (i // ROW)) for i in range(3 * ROW)]
 _longs = lambda x: f"array({', '.join(f'{v}L' for v in x)})"
-_CELLS = f"array({', '.join(f'named_struct({chr(39)}m{chr(39)}, {m}L, {chr(39)}p{chr(39)}, {p}L)' for m, p in zip(_MASK, _PLACE))})"
 _cell = lambda x, i: f"({x} & {_longs(_MASK)}[{i}]) = {_longs(_PLACE)}[{i}]"
 
 
@@ -39,7 +38,8 @@ def digests(text: str) -> Column:
 
 
 def _cells(keys: str) -> str:
-    return f"transform({_CELLS}, c -> aggregate(filter({keys}, k -> (k & c.m) = c.p), 0L, (a, k) -> a ^ k))"
+    cell = "aggregate(filter({}, k -> (k & {}L) = {}L), 0L, (a, k) -> a ^ k)"
+    return f"array({', '.join(cell.format(keys, m, p) for m, p in zip(_MASK, _PLACE))})"
 
 
 def sketch(keys: str) -> Column:
@@ -47,36 +47,38 @@ def sketch(keys: str) -> Column:
     return F.expr(_cells(keys))
 
 
-def _shares(keys: str, power: str) -> str:
-    """The cells of each of ``2^power`` shares of the digests, which are dealt out in two steps."""
+def _dealt(keys: str, power: str) -> str:
+    """The digests in ``2^power`` shares, dealt out in two steps."""
     coarse, fine = f"cast({power} / 2 as int)", f"({power} - cast({power} / 2 as int))"
     bits = lambda n: f"(cast(shiftleft(1, {n}) as int) - 1)"
     first = f"transform(sequence(0, {bits(coarse)}), g -> filter({keys}, q -> (shiftright(q, 36) & {bits(coarse)}) = g))"
-    dealt = f"flatten(transform({first}, y -> transform(sequence(0, {bits(fine)}), g -> filter(y, q -> (shiftright(q, 36 + {coarse}) & {bits(fine)}) = g))))"
-    return f"transform({dealt}, h -> {_cells('h')})"
+    return f"flatten(transform({first}, y -> transform(sequence(0, {bits(fine)}), g -> filter(y, q -> (shiftright(q, 36 + {coarse}) & {bits(fine)}) = g))))"
 
 
 def _peel(cells: str) -> str:
     """The digests in a difference of cells, or null if some cells remain."""
     pure = f"array_distinct(filter(s.c, (x, i) -> x <> 0 and {_cell('x', 'i')} and (xxhash64(shiftrightunsigned(x, 24)) & {CHECK}) = (x & {CHECK})))"
-    after = f"transform(s.c, (x, i) -> aggregate(filter(p, k -> {_cell('k', 'i')}), x, (a, k) -> a ^ k))"
+    after = f"zip_with(s.c, {_cells('p')}, (x, y) -> x ^ y)"
     step = f"if(s.go, transform(array({pure}), p -> if(size(p) > 0, named_struct('c', {after}, 'f', concat(s.f, p), 'go', true), named_struct('c', s.c, 'f', s.f, 'go', false)))[0], s)"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'f', cast(array() as array<bigint>), 'go', true), (s, r) -> {step}, s -> if(exists(s.c, x -> x <> 0), cast(null as array<bigint>), s.f))"
 
 
-def _difference(a: str, b: str, power: str) -> str:
-    peeled = f"transform(zip_with({_shares(a, power)}, {_shares(b, power)}, (x, y) -> zip_with(x, y, (p, q) -> p ^ q)), d -> {_peel('d')})"
-    return f"transform(array({peeled}), z -> if(exists(z, x -> x is null), cast(null as array<bigint>), flatten(z)))[0]"
+def _settled(a: str, b: str, left: int) -> str:
+    """The digests in one of two shares but not in both; a share that does not peel is dealt out to eight, ``left`` times at most."""
+    peeled = _peel(f"zip_with({_cells(a)}, {_cells(b)}, (p, q) -> p ^ q)")
+    if not left:
+        return f"coalesce({peeled}, concat(array_except({a}, {b}), array_except({b}, {a})))"
+    eight = lambda x: f"transform(sequence(0, 7), g -> filter({x}, q -> (shiftrightunsigned(q, {54 + 3 * left}) & 7) = g))"
+    x, y = f"x{left}", f"y{left}"
+    return f"coalesce({peeled}, flatten(zip_with({eight(a)}, {eight(b)}, ({x}, {y}) -> {_settled(x, y, left - 1)})))"
 
 
 def differing(a: str, b: str, cells_a: str, cells_b: str) -> Column:
     """The digests in one of two columns of digests but not in both, from their sketches; larger ones where these fail."""
-    total = f"(size({a}) + size({b}))"
-    power = lambda more: f"({more} + cast(ceil(log2(greatest(1, {total} / {SHARE}))) as int))"
+    power = f"cast(ceil(log2(greatest(1, (size({a}) + size({b})) / {SHARE}))) as int)"
     base = _peel(f"zip_with({cells_a}, {cells_b}, (p, q) -> p ^ q)")
-    tries = ", ".join(_difference(a, b, power(k)) for k in range(3))
-    exact = f"concat(array_except({a}, {b}), array_except({b}, {a}))"
-    return F.expr(f"coalesce({base}, {tries}, {exact})")
+    larger = f"flatten(zip_with({_dealt(a, power)}, {_dealt(b, power)}, (x, y) -> {_settled('x', 'y', 2)}))"
+    return F.expr(f"coalesce({base}, {larger})")
 
 
 def likeness(a: str, b: str, cells_a: str, cells_b: str) -> Column:
@@ -87,11 +89,11 @@ def likeness(a: str, b: str, cells_a: str, cells_b: str) -> Column:
 
 
 def as_text(cells: str) -> Column:
-    return F.expr(f"array_join(transform({cells}, c -> lpad(lower(hex(c)), 16, '0')), '')")
+    return F.expr(f"lower(array_join(transform({cells}, c -> lpad(hex(c), 16, '0')), ''))")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, keys`` and the same of the next document in descending id, ``next_text, next_keys``.
+    """``doc_id, text, keys, cells`` and the same of the next document in descending id, ``next_text, next_keys, next_cells``.
 
     Ids fall into ranges of about ``NEAR`` rows; a window looks at the next row within a range, and each range also gets
     the first row of the next one. Only the ranges' first ids, one row for each range, are ever ordered as a whole.
@@ -112,10 +114,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     first = F.first("h.k").over(order), F.first("h.mark").over(order), F.first("range").over(order)
     after = heads.select(F.col("range").alias("to"), F.coalesce(F.lead("range").over(order), first[2]).alias("range"), F.coalesce(F.lead("h.k").over(order), first[0]).alias("k"), F.coalesce(F.lead("h.mark").over(order), first[1]).alias("mark"))
     ghosts = placed.withColumn("k", key).join(after, ["range", "k", "mark"]).select("doc_id", "text", F.col("to").alias("range"), "mark", F.lit(1).alias("ghost"))
-    every = placed.select("doc_id", "text", "range", "mark", F.lit(0).alias("ghost")).union(ghosts).withColumn("keys", digests("text"))
+    # digests and cells are made behind the shuffle, which carries texts alone
+    every = placed.select("doc_id", "text", "range", "mark", F.lit(0).alias("ghost")).union(ghosts).repartition("range").withColumn("keys", digests("text")).withColumn("cells", sketch("keys"))
     near = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("doc_id"), "mark")
-    out = every.withColumns({"next_text": F.lead("text").over(near), "next_keys": F.lead("keys").over(near)})
-    return out.where("ghost = 0").select("doc_id", "text", "keys", "next_text", "next_keys")
+    out = every.withColumns({"next_text": F.lead("text").over(near), "next_keys": F.lead("keys").over(near), "next_cells": F.lead("cells").over(near)})
+    return out.where("ghost = 0").select("doc_id", "text", "keys", "cells", "next_text", "next_keys", "next_cells")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -124,5 +127,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = (n / 2).cast("int")
     rows = with_next(docs).withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))})
     rows = rows.withColumns({"edited_keys": digests("edited"), "edited_sha256": F.sha2("edited", 256)}).drop("text", "next_text", "edited")
-    rows = rows.withColumns({"cells": sketch("keys"), "edited_cells": sketch("edited_keys"), "next_cells": sketch("next_keys")})
+    rows = rows.withColumn("edited_cells", sketch("edited_keys"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text("cells").alias("fingerprint"), as_text("edited_cells").alias("edited_fingerprint"), likeness("keys", "edited_keys", "cells", "edited_cells").alias("near_edited"), likeness("keys", "next_keys", "cells", "next_cells").alias("near_next"))

@@ -177,7 +177,7 @@ def pack_balanced(docs: DataFrame, path: str, window: int = WINDOW, end: int = E
             if held >= group:
                 made += deal(rests)
                 rests, held = [], 0
-            if len(out[0]) >= 4096:
+            if len(out[0]) >= 512:
                 yield batch_of(dict(zip(names, out)), ddl)
                 out = [[] for _ in names]
         if rests:

@@ -134,11 +134,14 @@ def wide(text: str, size: int) -> bytes:
     h = np.unique(shingle_hashes(text, size))
     if not len(h):
         return bytes(8 * WORDS)
-    x = h[:, None] * SPREAD[None, :]
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return majority(np.ascontiguousarray(x))
+    total = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(h), 4096):  # a long text's hashes are spread piece by piece
+        x = h[at : at + 4096, None] * SPREAD[None, :]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
 
 
 def spanning(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import arrow_schema, batch_of, id_text, map_batches
+from tidewell.llm.common import arrow_schema, id_text, map_batches, written
 from tidewell.llm.components import components
 
 SEED = 42
@@ -122,6 +122,10 @@ WORDS, BLOCK_BYTES = 8, 2
 SPREAD = np.array([1] + [0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(1, WORDS)], np.uint64)
 #: Fingerprints of a block that are compared with each other at once; a larger group is dealt out to several tasks.
 GROUP = 4096
+#: Fingerprints of a block that are compared together with those of other blocks.
+SMALL = 16
+#: Rows of the list of large groups, two numbers each, up to which it is broadcast.
+FEW = 20_000
 
 
 def allowed(similarity: float, bits: int = 64 * WORDS) -> int:
@@ -130,37 +134,88 @@ def allowed(similarity: float, bits: int = 64 * WORDS) -> int:
     return int(bits * angle + (bits * angle * (1 - angle)) ** 0.5)
 
 
+class _WordHashes(dict):
+    """Hashes of words by word, emptied when it holds as many as ``WORD_MEMO``."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORD_MEMO:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+WORD_MEMO = 200_000
+_word_hashes = _WordHashes()
+#: An odd factor: a shingle's hash is a polynomial of its words' hashes in it.
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_shingles(text: str, size: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, from one hash of each word."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    size = min(size, len(h))
+    out = h[: len(h) - size + 1].copy()
+    for k in range(1, size):
+        out *= STEP
+        out += h[k : len(h) - size + 1 + k]
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
 def wide(text: str, size: int) -> bytes:
-    h = np.unique(shingle_hashes(text, size))
+    h = word_shingles(text, size)
     if not len(h):
         return bytes(8 * WORDS)
     total = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, len(h), 4096):  # a long text's hashes are spread piece by piece
-        x = h[at : at + 4096, None] * SPREAD[None, :]
+    for at in range(0, len(h), 255):  # so many ones fit a byte
+        x = h[at : at + 255, None] * SPREAD[None, :]
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
-        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
     return np.packbits(2 * total > len(h), bitorder="little").tobytes()
 
 
 def spanning(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Edges of a forest that connects all rows within ``bits`` of each other, found by comparing all pairs in rows."""
-    n = len(fps)
-    root, out = list(range(n)), []
+    tree, out = np.arange(len(fps)), []
+    for i in range(len(fps) - 1):
+        near = i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(1, dtype=np.int64) <= bits)
+        apart = near[tree[near] != tree[i]]
+        for other, k in zip(*np.unique(tree[apart], return_index=True)):
+            out.append((i, int(apart[k])))
+            tree[tree == other] = tree[i]
+    return out
+
+
+def spanning_groups(group: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """``spanning`` of each run of equal ``group``: small runs are compared together, shift by shift, larger ones alone."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+    sizes, out = np.diff(starts), []
+    left = np.repeat(starts[1:], sizes) - np.arange(len(group)) - 1  # rows of the run that follow
+    rows = np.flatnonzero(np.repeat(sizes, sizes) <= SMALL)
+    root: dict[int, int] = {}
 
     def find(i):
-        while root[i] != i:
-            root[i] = i = root[root[i]]
+        while (up := root.get(i, i)) != i:
+            i = up
         return i
 
-    for i in range(n - 1):
-        near = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(1) <= bits)
-        for k in near.tolist():
-            a, b = find(i), find(i + 1 + k)
+    for shift in range(1, SMALL):
+        rows = rows[left[rows] >= shift]
+        if not len(rows):
+            break
+        for i in rows[np.bitwise_count(fps[rows] ^ fps[rows + shift]).sum(1, dtype=np.int64) <= bits].tolist():
+            a, b = find(i), find(i + shift)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((i, i + 1 + k))
+                out.append((i, i + shift))
+    for k in np.flatnonzero(sizes > SMALL).tolist():
+        a = int(starts[k])
+        out += [(a + i, a + j) for i, j in spanning(fps[a : starts[k + 1]], bits)]
     return out
 
 
@@ -169,7 +224,7 @@ def wide_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     Blocks of 16 bits bring fingerprints together; the tasks that hold a block verify Hamming distances and return
     only the links of a spanning forest. A block of over ``GROUP`` fingerprints is dealt out by hash to parts of about
-    that many; its members meet again in the other blocks, dealt out otherwise.
+    that many; its members meet again in the other blocks, dealt out otherwise. Fingerprints are written once.
     """
     bits = allowed(similarity)
     ddl = "doc_id long, mark long, rep long, fp binary"
@@ -182,35 +237,43 @@ def wide_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             marks = [signed_hash(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(reps, pa.int64()), pa.array(fps, pa.binary())], schema=arrow_schema(ddl))
 
-    marked = map_batches(id_text(docs), run, ddl)
+    marked, _ = written(map_batches(id_text(docs), run, ddl), "wide")
     nodes = marked.groupBy("rep").agg(F.min("fp").alias("fp"))
-    blocks = [F.struct(F.lit(j).alias("j"), F.substring("fp", 1 + j * BLOCK_BYTES, BLOCK_BYTES).alias("key")) for j in range(8 * WORDS // BLOCK_BYTES)]
-    keyed = nodes.select("rep", "fp", F.explode(F.array(*blocks)).alias("b")).select("b.j", "b.key", "rep", "fp")
+    count = 8 * WORDS // BLOCK_BYTES
+    key = lambda j: F.conv(F.hex(F.substring("fp", 1 + j * BLOCK_BYTES, BLOCK_BYTES)), 16, 10).cast("long") + (j << 8 * BLOCK_BYTES)
+    keyed = nodes.select("rep", "fp", F.explode(F.array(*[key(j) for j in range(count)])).alias("key"))
     # the parts of large groups: counted first, on the keys alone
-    parts = keyed.groupBy("j", "key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("j", "key", F.ceil(F.col("n") / GROUP).alias("parts"))
-    dealt = keyed.join(parts, ["j", "key"], "left").select("j", "key", F.pmod(F.xxhash64("rep", "j"), F.coalesce("parts", F.lit(1))).alias("part"), "rep", "fp")
+    parts, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key", F.ceil(F.col("n") / GROUP).alias("parts")), "parts")
+    if parts.count() <= FEW:
+        parts = F.broadcast(parts)
+    part = F.pmod(F.xxhash64("rep", "key"), F.coalesce("parts", F.lit(1)))
+    dealt = keyed.join(parts, "key", "left").select((F.col("key") + part * (count << 8 * BLOCK_BYTES)).alias("g"), "rep", "fp")
     link_ddl = "u long, v long"
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, reps, fps = None, [], []
+        held, rows = [], 0
 
-        def close():
-            found = spanning(np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS), bits) if len(reps) > 1 else []
-            return batch_of({"u": [reps[a] for a, _ in found], "v": [reps[b] for _, b in found]}, link_ddl)
+        def found(t):
+            fps = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
+            edges = np.array(spanning_groups(t.column(0).to_numpy(), fps, bits), np.int64).reshape(-1, 2)
+            reps = t.column(1).to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(reps[edges[:, 0]]), pa.array(reps[edges[:, 1]])], schema=arrow_schema(link_ddl))
 
         for batch in batches:
-            for j, key, part, rep, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                if held != (j, key, part):
-                    if len(reps) > 1:
-                        yield close()
-                    held, reps, fps = (j, key, part), [], []
-                reps.append(rep)
-                fps.append(fp)
-        if len(reps) > 1:
-            yield close()
-
-    spread = dealt.repartition("j", "key", "part").sortWithinPartitions("j", "key", "part")
-    edges = map_batches(spread.select(F.col("j"), "key", "part", "rep", "fp"), links, link_ddl).distinct()
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 4 * GROUP:
+                t = pa.Table.from_batches(held).combine_chunks()
+                g = t.column(0).to_numpy()
+                whole = int(np.searchsorted(g, g[-1]))  # the last run may go on
+                if whole:
+                    yield found(t.slice(0, whole))
+                held, rows = t.slice(whole).to_batches(), len(g) - whole
+        if rows:
+            yield found(pa.Table.from_batches(held))
+
+    spread = dealt.repartition("g").sortWithinPartitions("g")
+    edges = map_batches(spread, links, link_ddl).distinct()
     roots = components(edges).withColumnRenamed("node", "rep")
     return marked.select("doc_id", "mark", "rep").join(roots, "rep", "left").select("doc_id", "mark", "rep", F.coalesce("root", "rep").alias("root"))
 

@@ -345,3 +345,35 @@ def test_pipeline_stages(spark, docs):
             assert after.columns == kept.columns
         kept = spark.createDataFrame(after.collect(), after.schema)
     assert kept.count() > 0 and "sequence_id" in kept.columns
+
+
+def test_least_count_is_the_nth_largest(spark):
+    counts = [1, 1, 2, 3, 3, 3, 8, 90, 700, 700, 5000]
+    df = spark.createDataFrame([(n,) for n in counts], "n long")
+    ordered = sorted(counts, reverse=True)
+    for n in range(1, len(counts) + 1):
+        assert stupid_backoff.least_count(df, n, sum(counts), ways=4) == ordered[n - 1]
+    assert stupid_backoff.least_count(df, 99, sum(counts)) == 1
+    assert stupid_backoff.least_count(df.limit(0), 1, 0) == 1
+
+
+def test_spanning_groups_connect_all_near_rows():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, (20, simhash.WORDS), dtype=np.uint64)[rng.integers(0, 20, 400)]
+    for row in fps:
+        for bit in rng.integers(0, 512, rng.integers(0, 80)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    group = np.sort(np.concatenate([rng.integers(0, 40, 200), rng.integers(40, 43, 200)]))
+
+    def roots(edges):
+        of = list(range(len(fps)))
+        for a, b in edges:
+            a, b = of[a], of[b]
+            of = [min(a, b) if r in (a, b) else r for r in of]
+        return of
+
+    for bits in (40, 84):
+        near = [(i, j) for i in range(400) for j in range(i + 1, 400) if group[i] == group[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= bits]
+        found = simhash.spanning_groups(group, fps, bits)
+        assert len(near) > 50 and set(map(tuple, map(sorted, found))) <= set(near)
+        assert roots(found) == roots(near)

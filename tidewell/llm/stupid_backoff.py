@@ -188,6 +188,23 @@ def _score(single, order: int, buckets: int, least: int):
     return run
 
 
+def least_count(counts: DataFrame, n: int, most: int, ways: int = 64) -> int:
+    """The largest count that at least ``n`` words have or exceed, 1 if there are fewer; ``most`` is no smaller than any count.
+
+    Each pass over the counts cuts the range to a part in ``ways`` and brings as many numbers to the driver.
+    """
+    low, high = 1, most + 1  # the answer is in low..high - 1
+    while high - low > 1:
+        step = -(-(high - low) // ways)
+        at = list(range(low + step, high, step))
+        if not at:
+            at = [low + 1]
+        found = counts.agg(*[F.sum((F.col("n") >= t).cast("long")).alias(str(t)) for t in at]).first()
+        reached = [t for t, c in zip(at, found) if (c or 0) >= n]
+        low, high = (reached[-1], min(high, reached[-1] + step)) if reached else (low, at[0])
+    return low
+
+
 def scores(docs: DataFrame, order: int = 2, least: int = 2) -> DataFrame:
     """``doc_id, n_words, score`` of every row: the sum of its words' log scores."""
     if not 2 <= order <= 4:
@@ -195,7 +212,8 @@ def scores(docs: DataFrame, order: int = 2, least: int = 2) -> DataFrame:
     spark, rows = docs.sparkSession, id_text(docs)
     counts, _ = written(map_batches(rows, _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    # of words rarer than that none is in the vocabulary, so tasks send the driver about the vocabulary between them, not each
+    top = counts.where(F.col("n") >= least_count(counts, VOCABULARY, total)).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     ones = np.zeros(UNKNOWN + 1)
     ones[1 : len(top) + 1] = [r["n"] for r in top]
     ones[UNKNOWN] = total - ones.sum()

@@ -335,6 +335,30 @@ def test_stupid_backoff(docs, order):
     assert got == want
 
 
+def test_backoff_query_counts_every_word_and_trigram(spark, tmp_path):
+    """70,000 words that occur once each or twice, and common ones: none shares a count with another."""
+    from tidewell.llm.queries import op10_stupid_backoff
+
+    r = random.Random(11)
+    rare = [f"w{k}" for k in range(70_000)]
+    rows = [(i, " ".join(rare[700 * i : 700 * i + 700] + r.choices("abcde", k=40))) for i in range(100)] + [(100, "w1 w3 w2"), (101, "a b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    count, total = Counter(), 0
+    for _, x in rows:
+        w = x.split()
+        total += len(w)
+        count.update(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+
+    def score(*gram):
+        if len(gram) == 1:
+            return count[gram] / total
+        return count[gram] / count[gram[:-1]] if count[gram] else 0.4 * score(*gram[1:])
+
+    want = {i: sum(np.log(score(*w[max(0, k - 2) : k + 1])) for k in range(len(w))) for i, x in rows for w in [x.split()]}
+    got = {g["doc_id"]: g["score"] for g in op10_stupid_backoff(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 

@@ -53,7 +53,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff.scores(table(spark, sf_dir, "documents"))
+    return stupid_backoff.scores(table(spark, sf_dir, "documents"), order=3, least=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,15 +1,16 @@
 """Stupid-backoff language-model scores.
 
-Words are runs of non-space ASCII characters or others, A-Z lower-cased. The vocabulary is the ``VOCABULARY`` most
-frequent words of all documents, ties by word; other words are one unknown word. n-grams of up to ``order`` words are
-counted over all documents, and those that occur fewer than ``least`` times are not in the model. A word's score is the
-log of its n-gram's count over its context's count, at the longest context for which the model has the n-gram, times
-``ALPHA`` for each word by which the context is shortened; without context it is the word's share of all words.
-
-Documents are grouped to blocks of bounded size, with ids for words. A block names its distinct n-grams, dealt out to
-buckets by their hash; a bucket adds up the counts of its n-grams over all blocks, and answers each block in the
-order of its question. So a frequent n-gram is one entry of a block, however often it occurs, and only packed ids and
-counts travel. Then each block sums its documents.
+Words are runs of non-space ASCII characters or others, A-Z lower-cased. Every word and every n-gram of up to ``order``
+words is counted over all documents, by a 64-bit hash; n-grams of 2 words and more that occur fewer than ``least`` times
+are not in the model. A word's score is the log of its n-gram's count over its context's count, at the longest context
+for which the model has the n-gram, times ``ALPHA`` for each word by which the context is shortened; without context it
+is the word's share of all words. There is no vocabulary: nothing is kept that grows with the number of words but the
+tables of n-grams, which are dealt out by hash.
+
+Documents are grouped to blocks of bounded size. A block names its distinct n-grams, words among them, dealt out to
+buckets by ranges of their hash; a bucket adds up the counts of its n-grams over all blocks, and answers each block in
+the order of its question. So a frequent n-gram is one entry of a block, however often it occurs, and only packed hashes
+and counts travel. Then each block sums its documents.
 
 Null and empty texts have no words and score 0. Repeated rows and ids are scored, and counted, each for itself. An
 empty table gives no rows. Only the id and the text are read.
@@ -17,171 +18,188 @@ empty table gives no rows. Only the id and the text are read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import arrow_schema, batch_of, id_text, map_batches, partition_number, written
 
 ALPHA = 0.4
-#: Known words, their ids from 1: with four of them in a 64-bit key, an order of up to 4.
-VOCABULARY = 65_534
-UNKNOWN = VOCABULARY + 1
 #: Words of a block and n-grams of a bucket, about: bounds of a worker's memory.
 BLOCK, BUCKET = 400_000, 2_000_000
+SEED = 42
+#: Words whose hashes a worker remembers.
+WORD_MEMO = 200_000
+#: An odd factor: an n-gram's hash is a polynomial of its words' hashes in it.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(1).to_pylist():
-            held.update(words(text))
-            if len(held) > 400_000:
-                yield batch_of({"word": list(held), "n": list(held.values())}, "word binary, n long")
-                held = Counter()
-    yield batch_of({"word": list(held), "n": list(held.values())}, "word binary, n long")
+class _Hashes(dict):
+    """Hashes of words by word, emptied when it holds as many as ``WORD_MEMO``."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORD_MEMO:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
 
-BLOCK_DDL = "block long, doc_ids binary, nulls binary, lengths binary, words binary"
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes: their count, then a compressed plane for each of the 8 bytes."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
-def _ids_of(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, block = known.value, partition_number() << 32
-        ids, rows = [], []
 
-        def close():
-            raw = np.array([i or 0 for i in ids], "<i8")
-            return batch_of({"block": [block], "doc_ids": [raw.tobytes()], "nulls": [bytes(i is None for i in ids)], "lengths": [np.array([len(r) for r in rows], "<u4").tobytes()], "words": [np.array([w for r in rows for w in r], "<u2").tobytes()]}, BLOCK_DDL)
+def _opened(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], 8 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
-        held = 0
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(i)
-                rows.append([of.get(w, UNKNOWN) for w in words(text)])
-                held += len(rows[-1])
-                if held >= BLOCK or len(rows) >= 4096:
-                    yield close()
-                    block, ids, rows, held = block + 1, [], [], 0
-        if rows:
-            yield close()
 
-    return run
+def _keys_packed(keys: np.ndarray) -> bytes:
+    """As differences, which wrap where the order falls."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def grams(ids: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place its n-gram's key, 16 bits a word, the last word lowest; and whether ``n`` words of its document end there."""
-    key = ids.astype(np.uint64)
-    for k in range(1, n):
-        key[k:] |= ids[:-k].astype(np.uint64) << np.uint64(16 * k)
-    within = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return key, within >= n - 1
+def _keys_opened(raw: bytes) -> np.ndarray:
+    return np.cumsum(_opened(raw), dtype=np.uint64)
+
+
+BLOCK_DDL = "block long, n long, doc_ids binary, nulls binary, lengths binary, words binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, block = _Hashes(), partition_number() << 32
+    ids, rows, held = [], [], 0
+
+    def close():
+        raw = np.array([i or 0 for i in ids], "<i8")
+        # the words of a block repeat: its distinct hashes, the most frequent first, and the place of each word among them
+        every, of, counts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+        by = np.argsort(-counts, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        known = _keys_packed(every[by])
+        packed = len(known).to_bytes(8, "little") + known + _packed(place[of])
+        return batch_of({"block": [block], "n": [held], "doc_ids": [raw.tobytes()], "nulls": [bytes(i is None for i in ids)], "lengths": [np.array([len(r) for r in rows], "<u4").tobytes()], "words": [packed]}, BLOCK_DDL)
+
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            w = words(text)
+            ids.append(i)
+            rows.append(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))
+            held += len(w)
+            if held >= BLOCK or len(rows) >= 4096:
+                yield close()
+                block, ids, rows, held = block + 1, [], [], 0
+    if rows:
+        yield close()
+
+
+def _block(lengths: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a block's words, and the number of words of each document."""
+    cut = 8 + int.from_bytes(packed[:8], "little")
+    return _keys_opened(packed[8:cut])[_opened(packed[cut:])], np.frombuffer(lengths, "<u4").astype(np.int64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def _opened(row: tuple) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row[1], "<u2"), np.frombuffer(row[0], "<u4").astype(np.int64)
+def grams(hashes: np.ndarray, within: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The keys of the n-grams of 1 to ``order`` words in a row, and for each n the places where ``n`` words of a document end."""
+    out, places, key = [], [], hashes
+    for n in range(1, order + 1):
+        if n > 1:
+            key = np.concatenate([hashes[:1], key[:-1] * STEP + hashes[1:]])
+        places.append(np.flatnonzero(within >= n - 1))
+        out.append(mixed(key[places[-1]] + np.uint64(n)))
+    return np.concatenate(out), places
 
 
-def questions(ids: np.ndarray, lengths: np.ndarray, order: int, buckets: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """A block's distinct n-grams of 2 words and more and their counts, by length and bucket, in order of their keys."""
-    out = []
-    for n in range(2, order + 1):
-        key, whole = grams(ids, lengths, n)
-        keys, counts = np.unique(key[whole], return_counts=True)
-        of = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(of, kind="stable")
-        cuts = np.flatnonzero(np.diff(of[by])) + 1
-        out += [(n, int(of[p[0]]), keys[p], counts[p]) for p in np.split(by, cuts) if len(p)]
-    return out
+def within_documents(lengths: np.ndarray) -> np.ndarray:
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-ASK_DDL = "n int, bucket long, block long, keys binary, counts binary"
-ANSWER_DDL = "n int, bucket long, block long, counts binary"
+ASK_DDL = "bucket long, block long, keys binary, counts binary"
+ANSWER_DDL = "bucket long, block long, counts binary"
 
 
 def _ask(order: int, buckets: int):
+    """A block's distinct n-grams and their counts, a row for each range of keys."""
+    bars = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lengths, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                asked = questions(*_opened((lengths, ids)), order, buckets)
+            for block, lengths, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes, size = _block(lengths, packed)
+                keys, counts = np.unique(grams(hashes, within_documents(size), order)[0], return_counts=True)
+                cuts = [0, *np.searchsorted(keys, bars).tolist(), len(keys)]
+                asked = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
                 for at in range(0, len(asked), 256):
-                    n, b, k, c = zip(*asked[at : at + 256])
-                    yield batch_of({"n": list(n), "bucket": list(b), "block": [block] * len(n), "keys": [x.astype("<u8").tobytes() if order > 2 else x.astype("<u4").tobytes() for x in k], "counts": [x.astype("<u4").tobytes() for x in c]}, ASK_DDL)
+                    some = asked[at : at + 256]
+                    yield batch_of({"bucket": [k for k, _, _ in some], "block": [block] * len(some), "keys": [_keys_packed(keys[a:b]) for _, a, b in some], "counts": [_packed(counts[a:b]) for _, a, b in some]}, ASK_DDL)
 
     return run
 
 
-def _answer(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, held, at = "<u4" if order == 2 else "<u8", [], None
-
-        def close():
-            keys = [np.frombuffer(r[3], kind) for r in held]
-            every, of = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(of, np.concatenate([np.frombuffer(r[4], "<u4") for r in held]), len(every)).astype(np.int64)
-            ends = np.cumsum([0] + [len(k) for k in keys])
-            answers = [np.minimum(total[of[a:b]], 0xFFFFFFFF).astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
-            for k in range(0, len(held), 64):
-                some = held[k : k + 64]
-                yield batch_of({"n": [r[0] for r in some], "bucket": [r[1] for r in some], "block": [r[2] for r in some], "counts": answers[k : k + 64]}, ANSWER_DDL)
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, at = [], None
 
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if at is not None and at != r[:2]:
-                    yield from close()
-                    held = []
-                at = r[:2]
-                held.append(r)
-        if held:
-            yield from close()
+    def close():
+        keys = [_keys_opened(r[2]) for r in held]
+        every, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, of, np.concatenate([_opened(r[3]) for r in held]).astype(np.int64))
+        ends = np.cumsum([0] + [len(k) for k in keys])
+        for k in range(0, len(held), 64):
+            some = held[k : k + 64]
+            yield batch_of({"bucket": [r[0] for r in some], "block": [r[1] for r in some], "counts": [_packed(total[of[a:b]]) for a, b in zip(ends[k:], ends[k + 1 : k + 65])]}, ANSWER_DDL)
 
-    return run
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if at is not None and at != r[0]:
+                yield from close()
+                held = []
+            at = r[0]
+            held.append(r)
+    if held:
+        yield from close()
 
 
 SCORE_DDL = "doc_id long, n_words long, score double"
 
 
-def _score(single, order: int, buckets: int, least: int):
+def _score(total: int, order: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, total = single.value
         for batch in batches:
-            for doc_ids, nulls, lengths, ids, answers in zip(*(c.to_pylist() for c in batch.columns)):
-                w, size = _opened((lengths, ids))
-                told = {(a["n"], a["bucket"]): np.frombuffer(a["counts"], "<u4") for a in answers or []}
-                value = np.log(ones[w] / max(total, 1)) if len(w) else np.zeros(0)
-                value += (np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)).clip(0, order - 1) * np.log(ALPHA)
-                before = ones[w]  # the count of the n-gram before, one word shorter
+            for doc_ids, nulls, lengths, packed, answers in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes, size = _block(lengths, packed)
+                within = within_documents(size)
+                keys, places = grams(hashes, within, order)
+                # buckets are ranges of keys, so their answers in a row are in order of the block's keys
+                told = [_opened(a["counts"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+                counts = np.concatenate(told).astype(np.float64)[np.unique(keys, return_inverse=True)[1]] if told else np.zeros(0)
+                ends = np.cumsum([0] + [len(p) for p in places])
+                before = counts[: ends[1]]  # the count of the n-gram that ends here, one word shorter
+                value = np.log(before / max(total, 1)) + within.clip(0, order - 1) * np.log(ALPHA)
                 for n in range(2, order + 1):
-                    key, whole = grams(w, size, n)
-                    keys = np.unique(key[whole])
-                    of = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-                    count = np.zeros(len(keys))
-                    by = np.argsort(of, kind="stable")
-                    for p in np.split(by, np.flatnonzero(np.diff(of[by])) + 1):
-                        if len(p):
-                            count[p] = told[n, int(of[p[0]])]
-                    here = np.zeros(len(w))
-                    here[whole] = count[np.searchsorted(keys, key[whole])] if len(keys) else 0
-                    within = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-                    shorter = np.concatenate([[1], before[:-1]]) if len(w) else before
-                    known = whole & (here >= least)
-                    value[known] = np.log(here[known] / shorter[known]) + (within[known].clip(0, order - 1) - (n - 1)) * np.log(ALPHA)
+                    at, here = places[n - 1], np.zeros(len(hashes))
+                    here[at] = counts[ends[n - 1] : ends[n]]
+                    known = at[here[at] >= least]
+                    value[known] = np.log(here[known] / before[known - 1]) + (within[known].clip(0, order - 1) - (n - 1)) * np.log(ALPHA)
                     before = here
-                doc = np.repeat(np.arange(len(size)), size)
-                sums = np.bincount(doc, value, len(size))
+                sums = np.bincount(np.repeat(np.arange(len(size)), size), value, len(size))
                 raw = np.frombuffer(doc_ids, "<i8").tolist()
                 yield batch_of({"doc_id": [None if z else i for i, z in zip(raw, nulls)], "n_words": size.tolist(), "score": sums.tolist()}, SCORE_DDL)
 
@@ -209,21 +227,12 @@ def scores(docs: DataFrame, order: int = 2, least: int = 2) -> DataFrame:
     """``doc_id, n_words, score`` of every row: the sum of its words' log scores."""
     if not 2 <= order <= 4:
         raise ValueError("order is 2 to 4")
-    spark, rows = docs.sparkSession, id_text(docs)
-    counts, _ = written(map_batches(rows, _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # of words rarer than that none is in the vocabulary, so tasks send the driver about the vocabulary between them, not each
-    top = counts.where(F.col("n") >= least_count(counts, VOCABULARY, total)).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    ones = np.zeros(UNKNOWN + 1)
-    ones[1 : len(top) + 1] = [r["n"] for r in top]
-    ones[UNKNOWN] = total - ones.sum()
-    known = spark.sparkContext.broadcast({bytes(r["word"]): k + 1 for k, r in enumerate(top)})
-    single = spark.sparkContext.broadcast((ones, total))
-    blocks, _ = written(map_batches(rows, _ids_of(known), BLOCK_DDL), "blocks")
-    buckets = max(1, -(-total * (order - 1) // BUCKET))
+    blocks, _ = written(map_batches(id_text(docs), _blocks, BLOCK_DDL), "blocks")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total * order // BUCKET))
     asked = map_batches(blocks.select("block", "lengths", "words"), _ask(order, buckets), ASK_DDL)
-    dealt = asked.repartition("n", "bucket").sortWithinPartitions("n", "bucket", "block")
-    told = map_batches(dealt, _answer(order), ANSWER_DDL)
-    by_block = told.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "counts")).alias("answers"))
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket", "block")
+    told = map_batches(dealt, _answer, ANSWER_DDL)
+    by_block = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     joined = blocks.join(by_block, "block", "left").select("doc_ids", "nulls", "lengths", "words", "answers")
-    return map_batches(joined, _score(single, order, buckets, least), SCORE_DDL)
+    return map_batches(joined, _score(total, order, least), SCORE_DDL)

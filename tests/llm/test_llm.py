@@ -359,6 +359,20 @@ def test_backoff_query_counts_every_word_and_trigram(spark, tmp_path):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_language_stage_rejects_what_no_language_fits(spark):
+    """Of the labelled texts of sf0.01 nearly all stay; words of unlearned scripts and random letters go."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(4)
+    make = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(100))
+    scripts = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", [chr(c) for c in range(0x4E00, 0x9FA0)], "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    junk = spark.createDataFrame([(-1 - k, make(scripts[k % len(scripts)]), None) for k in range(50)], "doc_id long, text string, lang string")
+    kept = [k["doc_id"] for k in corpus_pipeline.language(spark, docs.union(junk), "").select("doc_id").collect()]
+    assert not [i for i in kept if i < 0]
+    assert len(kept) >= 0.98 * docs.where("text rlike '\\\\p{L}'").count()
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 

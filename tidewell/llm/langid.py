@@ -31,6 +31,8 @@ TABLE = 1 << 16
 #: The bounds of the fit: texts and landmarks of each language, and languages.
 PER_LANGUAGE, LANDMARKS, LANGUAGES = 400, 48, 500
 RIDGE = 1e-2
+#: Share of held-out labelled texts below the bar of ``least_score``.
+REJECTED = 0.005
 #: Texts scored in one product.
 ROWS = 64
 
@@ -112,8 +114,22 @@ def fit_rows(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, rid
     return Model(names, (z.astype(np.float64) @ (whiten @ beta)).astype(np.float32))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
-    """Fit on ``doc_id, text, lang`` rows; a bounded sample of them goes to the driver, chosen by hash.
+def least_score(texts: list[str], langs: list[str]) -> float:
+    """A bar for scores, from labelled texts in random order: all but ``REJECTED`` of the held-out ones reach it.
+
+    Every fifth text is held out and scored by the model of the others. A text unlike all landmarks has outputs near
+    zero, so a score near one half: the bar is no lower than that.
+    """
+    held = [t for t in texts[::5] if places(t) is not None]
+    rest = [k for k in range(len(texts)) if k % 5]
+    model = fit_rows([texts[k] for k in rest], [langs[k] for k in rest])
+    if not held or not model.languages:
+        return 0.5
+    return max(0.5, float(np.quantile(model.predict(held)[1], REJECTED)))
+
+
+def sample_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
+    """Texts and languages of a bounded sample of ``doc_id, text, lang`` rows, chosen and ordered by hash.
 
     The sample takes, of each of the ``LANGUAGES`` most frequent languages, the rows whose hash is below a bar set by
     the language's count, so no task ever holds a language's rows. Very long texts are whole in the sample as well.
@@ -125,10 +141,15 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
         some = (F.col("lang") == r["lang"]) & (F.col("rank") <= int(min(1.0, per_language / r["count"]) * (1 << 31)))
         bar = some if bar is None else bar | some
     if bar is None:
-        return Model([], np.zeros((TABLE, 1), np.float32))
+        return [], []
     sample = rows.where(bar).orderBy("rank", "lang").limit(2 * per_language * len(counts)).collect()
     sample.sort(key=lambda r: (r["rank"], r["lang"], r["text"]))
-    return fit_rows([r["text"] for r in sample], [r["lang"] for r in sample], landmarks)
+    return [r["text"] for r in sample], [r["lang"] for r in sample]
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
+    """Fit on ``doc_id, text, lang`` rows; a bounded sample of them goes to the driver."""
+    return fit_rows(*sample_rows(labelled, per_language), landmarks)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -415,3 +415,16 @@ def test_spanning_groups_connect_all_near_rows():
         found = simhash.spanning_groups(group, fps, bits)
         assert len(near) > 50 and set(map(tuple, map(sorted, found))) <= set(near)
         assert roots(found) == roots(near)
+
+
+def test_pairs_of_a_hot_block_are_linked(spark, monkeypatch):
+    """Pairs that share one block alone, which all fingerprints share: 40 times as many as are compared at once."""
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 1 << 63, (160, simhash.WORDS), dtype=np.uint64)
+    one.view("<u2")[:, 0] = 7
+    two = one.copy()
+    two.view("<u2")[:, 1:] ^= 4
+    rows = [(k, f.tobytes()) for k, f in enumerate([*one, *two])]
+    links = simhash.wide_links(spark.createDataFrame(rows, "rep long, fp binary"), simhash.allowed(0.8)).collect()
+    assert {(min(e), max(e)) for e in links} == {(k, k + 160) for k in range(160)}

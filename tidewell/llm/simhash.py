@@ -120,7 +120,7 @@ def link(docs: DataFrame, size: int = 3, distance: int = 2, blocks: int = 5) ->
 WORDS, BLOCK_BYTES = 8, 2
 #: Fixed odd factors that spread a shingle's hash to further words.
 SPREAD = np.array([1] + [0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(1, WORDS)], np.uint64)
-#: Fingerprints of a block that are compared with each other at once; a larger group is dealt out to several tasks.
+#: Fingerprints that are compared with each other at once; a larger group of a block is compared part against part.
 GROUP = 4096
 #: Fingerprints of a block that are compared together with those of other blocks.
 SMALL = 16
@@ -219,35 +219,26 @@ def spanning_groups(group: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple
     return out
 
 
-def wide_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, mark, rep, root``: of every row, the hash of its text, its fingerprint's node and the root of its group.
+def wide_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """Edges ``u, v`` that connect all ``rep, fp`` nodes that share a block and differ in at most ``bits`` bits.
 
     Blocks of 16 bits bring fingerprints together; the tasks that hold a block verify Hamming distances and return
     only the links of a spanning forest. A block of over ``GROUP`` fingerprints is dealt out by hash to parts of about
-    that many; its members meet again in the other blocks, dealt out otherwise. Fingerprints are written once.
+    half that many, and each two parts are a group of their own, so every pair of the block meets in one: for ``p``
+    parts a fingerprint goes to ``p - 1`` groups.
     """
-    bits = allowed(similarity)
-    ddl = "doc_id long, mark long, rep long, fp binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps = [wide(t, size) for t in texts]
-            reps = [signed_hash(f) for f in fps]
-            marks = [signed_hash(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(reps, pa.int64()), pa.array(fps, pa.binary())], schema=arrow_schema(ddl))
-
-    marked, _ = written(map_batches(id_text(docs), run, ddl), "wide")
-    nodes = marked.groupBy("rep").agg(F.min("fp").alias("fp"))
     count = 8 * WORDS // BLOCK_BYTES
     key = lambda j: F.conv(F.hex(F.substring("fp", 1 + j * BLOCK_BYTES, BLOCK_BYTES)), 16, 10).cast("long") + (j << 8 * BLOCK_BYTES)
     keyed = nodes.select("rep", "fp", F.explode(F.array(*[key(j) for j in range(count)])).alias("key"))
     # the parts of large groups: counted first, on the keys alone
-    parts, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key", F.ceil(F.col("n") / GROUP).alias("parts")), "parts")
+    parts, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key", F.ceil(2 * F.col("n") / GROUP).alias("parts")), "parts")
     if parts.count() <= FEW:
         parts = F.broadcast(parts)
-    part = F.pmod(F.xxhash64("rep", "key"), F.coalesce("parts", F.lit(1)))
-    dealt = keyed.join(parts, "key", "left").select((F.col("key") + part * (count << 8 * BLOCK_BYTES)).alias("g"), "rep", "fp")
+    placed = keyed.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")))
+    pair = lambda o: F.least("part", o) + F.shiftleft(F.greatest("part", o), 20)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != F.col("part"))
+    pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, pair))
+    dealt = placed.select("key", "rep", "fp", F.explode(pairs).alias("pair")).select((F.col("key") + F.shiftleft("pair", 21)).alias("g"), "rep", "fp")
     link_ddl = "u long, v long"
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +264,28 @@ def wide_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             yield found(pa.Table.from_batches(held))
 
     spread = dealt.repartition("g").sortWithinPartitions("g")
-    edges = map_batches(spread, links, link_ddl).distinct()
+    return map_batches(spread, links, link_ddl).distinct()
+
+
+def wide_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, mark, rep, root``: of every row, the hash of its text, its fingerprint's node and the root of its group.
+
+    Fingerprints are written once.
+    """
+    bits = allowed(similarity)
+    ddl = "doc_id long, mark long, rep long, fp binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fps = [wide(t, size) for t in texts]
+            reps = [signed_hash(f) for f in fps]
+            marks = [signed_hash(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(reps, pa.int64()), pa.array(fps, pa.binary())], schema=arrow_schema(ddl))
+
+    marked, _ = written(map_batches(id_text(docs), run, ddl), "wide")
+    nodes = marked.groupBy("rep").agg(F.min("fp").alias("fp"))
+    edges = wide_links(nodes, bits)
     roots = components(edges).withColumnRenamed("node", "rep")
     return marked.select("doc_id", "mark", "rep").join(roots, "rep", "left").select("doc_id", "mark", "rep", F.coalesce("root", "rep").alias("root"))
 

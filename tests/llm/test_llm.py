@@ -312,6 +312,32 @@ def test_nn_descent_recall(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def recall(spark, x, **kw):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = defaultdict(set)
+    for r in nndescent.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), **kw).collect():
+        near[r["query_id"]].add(r["vec_id"])
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    return np.mean([len(near[q] & set(np.argsort(-s[q])[:20].tolist())) / 20 for q in range(0, len(x), 20)])
+
+
+def test_nn_descent_rounds_make_the_recall(spark):
+    """6,000 vectors without clusters in about 60 blocks: the start alone finds little, its search included."""
+    x = np.random.default_rng(12).normal(size=(6000, 24)).astype(np.float32)
+    small = {"values": 24 * 128, "cell": 64}
+    assert recall(spark, x, **small) >= 0.9
+    assert recall(spark, x, rounds=0, hops=0, **small) < 0.5
+
+
+def test_nn_descent_unequal_lengths_and_columns(spark):
+    rows = [(0, [1.0, 0.0], "a"), (20, [0.5, 0.5], "b"), (21, [0.0, 2.0], "c"), (40, [1.0, 2.0, 3.0], "d"), (60, [], "e"), (0, [1.0, 0.0], "z")]
+    got = nndescent.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 20, 0.5), (0, 2, 21, 0.0), (20, 1, 21, 1.0), (20, 2, 0, 0.5)]
+    lonely = spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<double>")
+    assert nndescent.search(lonely).collect() == []
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_stupid_backoff(docs, order):
     count, total = Counter(), 0

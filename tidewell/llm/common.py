@@ -25,10 +25,10 @@ def _ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([root, *filter(None, known)])
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
     """Set what the operators need of a session: small Arrow batches, for rows hold whole texts."""
     _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 
@@ -83,8 +83,8 @@ def give_back() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    prepare(df.sparkSession)
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    prepare(df.sparkSession, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -32,39 +33,39 @@ GROUP = 2048 * 256
 def difference(sizes: list[int], windows: int) -> np.ndarray:
     """The window of each piece by Karmarkar-Karp multiway differencing.
 
-    A partial partition is a vector of window sums, largest first. The two partitions of largest spread merge with
-    opposing imbalances: the fullest windows of one meet the emptiest of the other. Ties go to the older partition.
+    A partial partition is a list of window sums, largest first, that leaves out the empty windows; each sum carries its
+    pieces as nested pairs. The two partitions of largest spread merge with opposing imbalances: the fullest windows of
+    one meet the emptiest of the other, so while both leave windows empty their sums go side by side. What all windows
+    have in common is taken off. Ties go to the older partition.
     """
-    if not sizes:
-        return np.zeros(0, np.int64)
-    sums, merged = [], []
-    for s in sizes:
-        v = np.zeros(windows, np.int64)
-        v[0] = s
-        sums.append(v)
-    queue = [(-s, k) for k, s in enumerate(sizes)] if windows > 1 else [(0, k) for k in range(len(sizes))]
+    place = np.zeros(len(sizes), np.int64)
+    if windows == 1 or not sizes:
+        return place
+    of_sum = operator.itemgetter(0)
+    queue: list = [(-s, k, [(s, k)]) for k, s in enumerate(sizes)]
     heapq.heapify(queue)
+    made = len(sizes)
     while len(queue) > 1:
-        (_, a), (_, b) = heapq.heappop(queue), heapq.heappop(queue)
-        v = sums[a] + sums[b][::-1]
-        order = np.argsort(-v, kind="stable").astype(np.int32)
-        v = v[order]
-        sums[a] = sums[b] = None
-        merged.append((a, b, order))
-        sums.append(v - v[-1])
-        heapq.heappush(queue, (-int(v[0] - v[-1]), len(sums) - 1))
-    place: list = [None] * len(sums)
-    place[-1] = np.arange(windows)
-    for at in range(len(merged) - 1, -1, -1):
-        a, b, order = merged[at]
-        of, place[len(sizes) + at] = place[len(sizes) + at], None
-        for k, slots in ((a, order), (b, windows - 1 - order)):
-            if k < len(sizes):  # a single piece lies in its first slot
-                place[k] = of[int(np.flatnonzero(slots == 0)[0])]
+        (_, _, a), (_, _, b) = heapq.heappop(queue), heapq.heappop(queue)
+        b = b[::-1]
+        if (over := len(a) + len(b) - windows) > 0:  # so many windows are filled by both
+            at = len(a) - over
+            a = a[:at] + [(s + t, (p, q)) for (s, p), (t, q) in zip(a[at:], b)] + b[over:]
+        else:
+            a = a + b
+        a.sort(key=of_sum, reverse=True)
+        if len(a) == windows and (least := a[-1][0]):
+            a = [(s - least, p) for s, p in a]
+        heapq.heappush(queue, (-(a[0][0] - (a[-1][0] if len(a) == windows else 0)), made, a))
+        made += 1
+    for w, (_, pieces) in enumerate(queue[0][2]):
+        todo = [pieces]
+        while todo:
+            if isinstance(p := todo.pop(), tuple):
+                todo += p
             else:
-                place[k] = np.empty(windows, np.int64)
-                place[k][slots] = of
-    return np.array([p[0] if isinstance(p, np.ndarray) else p for p in place[: len(sizes)]], np.int64)
+                place[p] = w
+    return place
 
 
 def balanced(sizes: list[int], capacity: int) -> np.ndarray:

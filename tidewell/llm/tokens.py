@@ -7,6 +7,7 @@ import itertools
 import os
 import re
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -23,12 +24,18 @@ class WordTokens:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.encode = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
+        # the vocabulary's model alone, for pieces that are cut and lower-cased already
+        self.words = Tokenizer(self.lib.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocab = self.lib.model.end_of_word_suffix, self.lib.get_vocab()
+        self.ends_word = np.zeros(1 + max(vocab.values()), bool)
+        self.ends_word[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+        self.encode = getattr(self.words, "encode_batch_fast", self.words.encode_batch)
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -40,6 +47,15 @@ class WordTokens:
             return None
         return LATIN_WORDS.findall(text.lower())
 
+    def each(self, pieces: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Each piece and its ids. The pieces are encoded as one text of words; an id of a word's end closes a piece."""
+        ids = array("I", self.encode([" ".join(pieces)], add_special_tokens=False)[0].ids)
+        ends = (4 + 4 * np.flatnonzero(self.ends_word[ids])).tolist()
+        if len(ends) == len(pieces) and ends[-1] == 4 * len(ids):
+            raw = ids.tobytes()
+            return zip(pieces, (raw[a:b] for a, b in zip([0, *ends], ends)))
+        return zip(pieces, (array("I", e.ids).tobytes() for e in self.encode(pieces, add_special_tokens=False)))
+
     def ids_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; the library encodes all pieces that the memo lacks in one call."""
         cut = [self.pieces(t) for t in texts]
@@ -48,8 +64,7 @@ class WordTokens:
             self.memo.clear()
             new = list({*itertools.chain.from_iterable(c for c in cut if c)})
         for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            self.memo.update(zip(some, (array("I", e.ids).tobytes() for e in self.encode(some, add_special_tokens=False))))
+            self.memo.update(self.each(new[at : at + 4096]))
         of = self.memo.__getitem__
         return [np.frombuffer(self.whole(t) if c is None else b"".join(map(of, c)), "<u4") for t, c in zip(texts, cut)]
 

@@ -4,11 +4,13 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewell.llm import bpe, compaction, components, iblt, langid, nndescent, packing, simhash, stupid_backoff, suffixes
@@ -278,18 +280,69 @@ def test_iblt_recovers_the_differing_digests(spark):
 
 
 def test_compaction(spark, docs, tmp_path):
-    store = compaction.ShardStore(spark, str(tmp_path / "store"), docs.schema, target_bytes=1 << 20, least_bytes=1 << 8)
+    clashing = docs.withColumns({"run": F.lit("r"), "tier": F.lit(9), "path": F.lit("p"), "file_bytes": F.lit(1)})
+    store = compaction.ShardStore(spark, str(tmp_path / "store"), clashing.schema, target_bytes=1 << 20, least_bytes=1 << 8)
     for wave in range(3):
-        store.append(docs, shard_rows=5)
-    before, files = Counter(map(str, store.read().select(docs.columns).collect())), store.manifest().count()
+        store.append(clashing, shard_rows=5)
+    before, files = Counter(map(str, store.read().collect())), store.manifest().count()
     version = store.compact()
     assert version > 3 and store.manifest().count() < files / 3
-    assert Counter(map(str, store.read().select(docs.columns).collect())) == before
+    assert Counter(map(str, store.read().collect())) == before == Counter(map(str, store.read(3).collect()))
     assert store.manifest(3).count() == files
-    store.vacuum()
+    store.vacuum()  # nothing is old enough
+    assert store.read(3).count() == sum(before.values())
+    store.vacuum(age=0)
     assert sum(before.values()) == store.read().count() == 3 * docs.count()
-    with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), version)
+    assert store.versions() == [version] and store.placed(F.col("run").alias("own")).columns == ["own", "run", "tier", "file_bytes"]
+
+
+def test_compaction_of_an_empty_table(spark, empty, tmp_path):
+    store = compaction.ShardStore(spark, str(tmp_path / "none"), empty.schema)
+    assert store.read().count() == 0 == store.placed(F.col("doc_id")).count()
+    store.append(empty)
+    store.compact()
+    store.vacuum(age=0)
+    assert store.version() == 1 and store.read().count() == 0 == store.placed(F.col("doc_id")).count()
+
+
+def test_of_racing_writers_one_gets_a_version(spark, docs, tmp_path):
+    """Many writers that all saw the same version: one commits each number, the others go on to the next, no row is lost."""
+    store = compaction.ShardStore(spark, str(tmp_path / "race"), docs.schema)
+    store.append(docs)
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: store._publish(2, f"list{k}"), range(8)))
+        assert won.count(True) == 1 and store._list_of(2) == f"list{won.index(True)}"
+        store._delete("versions/v2")
+        assert sorted(pool.map(lambda _: store.append(docs), range(4))) == [2, 3, 4, 5]
+    assert store.read().count() == 5 * docs.count()
+
+
+def test_a_crashed_append_hinders_no_later_one(spark, docs, tmp_path, monkeypatch):
+    store = compaction.ShardStore(spark, str(tmp_path / "crash"), docs.schema)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda after: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.append(docs)
+    assert store.version() == 0 and store.append(docs) == 1
+    assert store.read().count() == docs.count()
+    store.vacuum(age=0)
+    assert store.read().count() == docs.count() and len(store._listed("data")) == 1
+
+
+def test_a_merge_of_files_that_are_gone_is_given_up(spark, docs, tmp_path):
+    store = compaction.ShardStore(spark, str(tmp_path / "stale"), docs.schema, least_bytes=1 << 8)
+    for _ in range(5):
+        store.append(docs)
+    commit, other = store._commit, compaction.ShardStore(spark, store.root, docs.schema, least_bytes=1 << 8)
+
+    def late(after):
+        store._commit = commit
+        other.compact()
+        return commit(after)
+
+    store._commit = late
+    store.compact()
+    assert store.read().count() == 5 * docs.count()
 
 
 def test_nn_descent_recall(spark):

@@ -24,7 +24,7 @@ def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = compaction.store_and_compact(table(spark, sf_dir, "documents"), scratch(spark, "store"), target_bytes=16 << 20)
-    return store.read().select("doc_id", F.length("text").cast("long").alias("n_chars"), "run", "tier", "file_rows")
+    return store.placed(F.col("doc_id"), F.length("text").cast("long").alias("n_chars"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ bytes alone. So equal strings have equal anchors at equal offsets, and
 2. anchors that occur once cannot hold a repeat and go, by a join with the counts of anchors;
 3. runs equal as a whole are settled by counting;
 4. runs that share an anchor but differ, as at a passage's ends, are brought together by anchor with their bytes. There a
-   suffix array is built of the strings that start in them, and the longest-previous-factor rule decides: the previous
-   and the next smaller position in suffix order are the only candidates for the longest earlier match.
+   suffix array with common prefixes is built of the strings that start in them, and the longest-previous-factor rule
+   decides: the previous and the next smaller position in suffix order are the only candidates for the longest earlier
+   match. ``all`` also asks for the longest match that starts later, by the same rule with places counted from the end.
 
 An anchor with over ``HOT`` differing runs is not gathered in one task: its strings are counted by hash instead.
 """
@@ -35,6 +36,8 @@ MATCH, GRAM = 200, 51
 SPAN = MATCH - GRAM + 1
 #: Differing runs of an anchor up to which one task gathers them, and bytes of the texts that a task treats at once.
 HOT, BLOCK = 20_000, 1 << 21
+#: Keys at most that a join broadcasts as frequent, and parts to which the rows of each are dealt.
+HOT_KEYS, SALTS = 4096, 64
 FACTOR = 0x9E3779B97F4A7C15
 NO_ID = -(1 << 63)
 
@@ -105,58 +108,82 @@ def segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
-def smaller_before(v: np.ndarray) -> np.ndarray:
-    """For each place the nearest earlier place of a smaller value, or -1, by pointer jumping."""
-    p = np.arange(-1, len(v) - 1)
+def smaller_before(v: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest earlier place of a smaller value, or -1, and the least of ``common`` on the way to it.
+
+    By pointer jumping: ``common[i]`` belongs to the step from ``i - 1`` to ``i``.
+    """
+    p, least = np.arange(-1, len(v) - 1), common.copy()
     todo = np.arange(len(v))
     while len(todo := todo[(p[todo] >= 0) & (v[p[todo]] > v[todo])]):
-        p[todo] = p[p[todo]]
-    return p
+        at = p[todo]
+        p[todo], least[todo] = p[at], np.minimum(least[todo], least[at])
+    return p, np.where(p >= 0, least, 0)
+
+
+def previous_factors(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array in suffix order: how long a prefix of each suffix also starts at an earlier place.
+
+    Of the suffixes that start earlier, the longest match is the previous or the next one in suffix order; ``common[i]``
+    is the length of the prefix that suffixes ``i - 1`` and ``i`` of the order share.
+    """
+    before = smaller_before(order, common)[1]
+    after = smaller_before(order[::-1], np.concatenate([[0], common[:0:-1]]))[1][::-1]
+    return np.maximum(before, after)
 
 
 def suffix_order(x: bytes, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in order of their first ``depth`` bytes and then place, and for each whether it equals the next one so far.
+    """The starts in order of their first ``depth`` bytes and then place, and the prefix that each shares with the one before.
 
-    A suffix array of the given starts, cut off at ``depth``: starts whose string occurs once can match nothing and
-    are left out. Classes of equal strings are found by hash and checked byte by byte; one of each class is sorted.
+    A suffix array of the given starts with its common prefixes, both cut off at ``depth``: starts whose string occurs
+    once can match nothing and are left out. Classes of equal strings are found by hash and checked byte by byte (bytes
+    decide where hashes collide); one of each class is sorted.
     """
     every = rolling(np.frombuffer(x, np.uint8), depth)[starts]
     _, of, count = np.unique(every, return_inverse=True, return_counts=True)
     some = np.flatnonzero(count[of] > 1)
     if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    starts, of = starts[some], of[some]
-    order = np.lexsort((starts, of))
-    starts, of = starts[order], of[order]
-    new = np.concatenate([[True], of[1:] != of[:-1]])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(x, np.uint8), depth)
-    class_first = starts[new]
-    number = np.cumsum(new) - 1
-    for at in range(0, len(starts), 1 << 16):
-        some = slice(at, at + (1 << 16))
-        if not np.array_equal(strings[starts[some]], strings[class_first[number[some]]]):
-            raise ValueError("unequal strings of one hash")
-    keys = np.ascontiguousarray(strings[class_first]).view(f"S{depth}").ravel() if 0 not in x else None
-    if keys is None:  # byte zero ends an S string in numpy; compare as raw records
-        by = sorted(range(len(class_first)), key=lambda k: x[class_first[k] : class_first[k] + depth])
+
+    def classes(starts, of):
+        order = np.lexsort((starts, of))
+        starts, of = starts[order], of[order]
+        new = np.concatenate([[True], of[1:] != of[:-1]])
+        return starts, starts[new], np.cumsum(new) - 1
+
+    chosen = starts[some]
+    starts, first, number = classes(chosen, of[some])
+    parts = [slice(at, at + (1 << 16)) for at in range(0, len(starts), 1 << 16)]
+    if not all(np.array_equal(strings[starts[p]], strings[first[number[p]]]) for p in parts):
+        known: dict[bytes, int] = {}
+        starts, first, number = classes(chosen, np.array([known.setdefault(x[k : k + depth], len(known)) for k in chosen.tolist()]))
+    if 0 in x:  # byte zero ends an S string in numpy; compare as raw records
+        by = np.array(sorted(range(len(first)), key=lambda k: x[first[k] : first[k] + depth]))
     else:
-        by = np.argsort(keys, kind="stable")
-    rank = np.empty(len(class_first), np.int64)
-    rank[by] = np.arange(len(class_first))
+        by = np.argsort(np.ascontiguousarray(strings[first]).view(f"S{depth}").ravel(), kind="stable")
+    rank = np.empty(len(first), np.int64)
+    rank[by] = np.arange(len(first))
+    shared = np.zeros(len(first), np.int64)  # by rank, with the class before
+    for at in range(1, len(by), 1 << 14):
+        here = by[at : at + (1 << 14)]
+        shared[at : at + len(here)] = (strings[first[here]] != strings[first[by[at - 1 : at - 1 + len(here)]]]).argmax(1)
     order = np.lexsort((starts, rank[number]))
     starts, rank = starts[order], rank[number][order]
-    return starts, np.concatenate([rank[1:] == rank[:-1], [False]])
+    new = np.concatenate([[True], rank[1:] != rank[:-1]])
+    return starts, np.where(new, shared[rank], depth)
 
 
 def repeated(x: bytes, starts: np.ndarray, depth: int, later: bool) -> np.ndarray:
-    """Those of the starts whose ``depth`` bytes occur at another start (``later``: at an earlier one)."""
-    order, same = suffix_order(x, starts, depth)
-    if not later or not len(order):
-        return np.sort(order)
-    run = np.cumsum(np.concatenate([[True], ~same[:-1]]))
-    psv = smaller_before(order)
-    nsv = len(order) - 1 - smaller_before(order[::-1])[::-1]
-    hit = ((psv >= 0) & (run[psv] == run)) | ((nsv < len(order)) & (run[np.minimum(nsv, len(order) - 1)] == run))
+    """Those of the starts whose ``depth`` bytes occur at another start (``later``: at an earlier one), by their factors.
+
+    A start repeats an earlier one if its longest previous factor has ``depth`` bytes, and is repeated by a later one if
+    its longest factor that starts later has: the same rule with the places counted from the end.
+    """
+    order, common = suffix_order(x, starts, depth)
+    hit = previous_factors(order, common) >= depth
+    if not later:
+        hit |= previous_factors(-order, common) >= depth
     return np.sort(order[hit])
 
 
@@ -241,30 +268,47 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of({"k": [k] * n, "mark": [mark] * n, "start": [(at >> 8) + i for i in range(n)], "s": [signed_hash(raw[i : i + MATCH]) for i in range(n)]}, ddl)
 
 
+def salted_join(rows: DataFrame, counted: DataFrame, keys: list[str], limit: int, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``counted``, of which each key has its count ``n`` of rows, so that no task gets a frequent key whole.
+
+    Keys of over ``limit`` rows, fewer than there are rows over ``limit``, are broadcast; their rows are dealt to ``SALTS`` parts.
+    """
+    hot = F.broadcast(counted.where(F.col("n") > limit).select(*keys, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", part).drop("_hot")
+    parts = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(counted.withColumn("_salt", F.explode(parts)), [*keys, "_salt"]).drop("_salt")
+
+
 def found_runs(docs: DataFrame, later: bool) -> DataFrame:
     """``k, mark, at``: runs of starts, in the text of that id and hash, whose strings repeat. ``docs`` has ``k, text``."""
     every = map_batches(docs.select("k", "text"), _anchors, ROW_DDL)
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    rows, _ = written(every.join(twice, "h"), "anchors")
-    first = F.min(F.struct("k", "mark", "at")).alias("o")
-    wholes = rows.groupBy("h", "c").agg(F.count("*").alias("n"), first)
-    settled = rows.join(wholes.where("n > 1"), ["h", "c"])
+    twice, _ = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
+    # at most HOT_KEYS keys have more rows than this
+    limit = max(HOT, (twice.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    place = ["k", "mark", "at"]
+    rows, _ = written(salted_join(every, twice, ["h"], limit, place).select("h", "c", *place), "anchors")
+    wholes = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("o"))
+    settled = salted_join(rows, wholes.where("n > 1"), ["h", "c"], limit, place)
     if later:
         settled = settled.where((F.col("k") != F.col("o.k")) | (F.col("mark") != F.col("o.mark")) | (F.col("at") != F.col("o.at")))
-    settled = settled.select("k", "mark", "at")
-    differing = wholes.groupBy("h").agg(F.count("*").alias("runs")).where("runs > 1")
-    open_runs = wholes.join(differing, "h").select("h", "runs", "o.k", "o.mark", "o.at")
+    settled = settled.select(*place)
+    differing = wholes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    open_runs = salted_join(wholes.select("h", "c", "o"), differing, ["h"], limit, ["c"])
+    open_runs = open_runs.select("h", F.col("n").alias("runs"), "o.k", "o.mark", "o.at")
     wanted = open_runs.groupBy("k", "mark").agg(F.collect_list(F.struct("h", "at", "runs")).alias("wanted"))
     texts = docs.select("k", F.xxhash64("text").alias("mark"), "text").join(wanted, ["k", "mark"]).dropDuplicates(["k", "mark"])
 
     def contexts(which):
         some = texts.select("k", "mark", "text", F.filter("wanted", which).alias("wanted")).where(F.size("wanted") > 0)
-        return map_batches(some.select("k", "mark", "text", F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["at"].alias("at"))).alias("wanted")), _contexts, CTX_DDL)
+        thin = F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["at"].alias("at"))).alias("wanted")
+        return map_batches(some.select("k", "mark", "text", thin), _contexts, CTX_DDL)
 
     small = map_batches(contexts(lambda w: w["runs"] <= HOT).repartition("h").sortWithinPartitions("h"), _settle(later), FOUND_DDL)
     strings = map_batches(contexts(lambda w: w["runs"] > HOT), _strings, "k long, mark long, start long, s long")
-    counted = strings.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("k", "mark", "start")).alias("o")).where("n > 1")
-    large = strings.join(counted, "s")
+    first = F.min(F.struct("k", "mark", "start")).alias("o")
+    counted = strings.groupBy("s").agg(F.count("*").alias("n"), first).where("n > 1")
+    large = salted_join(strings, counted, ["s"], limit, ["k", "mark", "start"])
     if later:
         large = large.where((F.col("k") != F.col("o.k")) | (F.col("mark") != F.col("o.mark")) | (F.col("start") != F.col("o.start")))
     return settled.union(small).union(large.select("k", "mark", (F.shiftleft("start", 8) + 1).alias("at")))

@@ -12,4 +12,4 @@ def oracle_sql():
 
 
 def _load():
-    from tidewell.plans import aggregates, evaluation, joins, selections, windows  # noqa: F401
+    from tidewell.plans import aggregates, evaluation, joins, scans, selections, windows  # noqa: F401

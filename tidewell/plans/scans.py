@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import validation as V
 from tidewell.plans.registry import query, read
+from tidewell.sources import captures as C
 from tidewell.sources import scans as S
+from tidewell.sources import sinks as K
 from tidewell.sources.flows import FLOWS_SQL, flows
 
 NAMES = ["flow_id", "start_ms", "end_ms", "src", "dst", "dport", "bytes", "packets", "label"]
@@ -203,3 +205,87 @@ def p14(spark, sf_dir):
 def p15(spark, sf_dir):
     a = F.expr(_ADDRESS)
     return flows(spark, sf_dir).select("flow_id", V.address_match(a, "10.0.0.0/18").alias("in_net"), V.address_match(a, "10.0.1?.*").alias("in_glob"), V.address_match(a, "").alias("anything"), V.port_match(F.col("dport"), "5").alias("port"))
+
+
+# --- sinks and stores ----------------------------------------------------------------------------------------------------
+
+
+@query("src_s12_files", "select 'events.parquet' as file, count(*)::bigint as n, count(distinct user_id)::bigint as users from events")
+def s12(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.regexp_replace("_metadata.file_path", r"^.*?([^/]+\.parquet)(/.*)?$", "$1").alias("file"), "user_id")
+    return e.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("src_s11_partition_gate", f"select count(*)::bigint as n from {FLOWS_SQL} f where label = 'click'")
+def s11(spark, sf_dir):
+    at = K.scratch(spark, "flows")
+    K.write_shards(flows(spark, sf_dir), at, ["label"])
+    one = K.same_schema(spark.read.parquet(K.partition_path(at, label="click")), set(NAMES) - {"label"})
+    return one.agg(F.count("*").alias("n"))
+
+
+@query("snk_k1_shards", f"select label, count(*)::bigint as n, sum(bytes)::bigint as bytes from {FLOWS_SQL} f group by 1")
+def k1(spark, sf_dir):
+    at = K.scratch(spark, "flows")
+    K.write_shards(flows(spark, sf_dir), at, ["label"], 1000)
+    return spark.read.parquet(at).groupBy("label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("snk_k2_logical_hash")
+def k2(spark, sf_dir):
+    """No SQL: the digest is of Spark's JSON; the tests hold it to be the same for any order and number of files."""
+    return K.logical_hash(flows(spark, sf_dir))
+
+
+@query("snk_k3_text", f"select flow_id, label, case when flow_id % 3 = 0 then null else src end as src from {FLOWS_SQL} f")
+def k3(spark, sf_dir):
+    rows = flows(spark, sf_dir).select("flow_id", "label", F.expr("if(flow_id % 3 = 0, null, src)").alias("src"))
+    out = []
+    for kind, part in (("json", 0), ("csv", 1)):
+        K.write_text(rows.where(F.col("flow_id") % 2 == part), at := K.scratch(spark, kind), kind)
+        reader = spark.read.schema(rows.schema)
+        out.append(reader.json(at) if kind == "json" else reader.option("header", True).csv(at))
+    return out[0].union(out[1])
+
+
+@query("snk_k4_replace", f"""select src % 4 as capture, count(*)::bigint as n, sum(case when src % 4 = 1 then bytes + 1 else bytes end)::bigint as bytes from {FLOWS_SQL} f where src % 4 <> 2 group by 1""")
+def k4(spark, sf_dir):
+    rows, at = flows(spark, sf_dir).select("flow_id", "bytes", (F.col("src") % 4).alias("capture")), K.scratch(spark, "catalog")
+    K.replace_partitions(rows, at, ["capture"])
+    K.replace_partitions(rows.where("capture = 1").withColumn("bytes", F.col("bytes") + 1), at, ["capture"])
+    K.delete_partition(spark, at, capture=2)
+    return spark.read.schema("flow_id long, bytes long, capture long").parquet(at).groupBy("capture").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+_RECORDS = "select flow_id % 700 as key, flow_id as seq, case when flow_id % 3 = 0 then 'BAD' else 'VALID' end as status, dport % 2 as model from"
+
+
+@query("snk_k6_resume", f"""with r as ({_RECORDS} {FLOWS_SQL} f), l as (select key, max_by(status, seq) as status, max_by(model, seq) as model from r group by 1)
+select key, model from (select distinct flow_id % 900 as key, 1 as model from {FLOWS_SQL} g) a where not exists (select 1 from l where l.key = a.key and l.status = 'VALID' and l.model = a.model)""")
+def k6(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    records = f.selectExpr("flow_id % 700 as key", "flow_id as seq", "if(flow_id % 3 = 0, 'BAD', 'VALID') as status", "dport % 2 as model")
+    asked = f.selectExpr("flow_id % 900 as key", "1 as model").distinct()
+    return K.still_to_do(asked, records, "key", "seq", ["model"])
+
+
+@query("snk_k7_cache", f"select flow_id, case when flow_id % 5 <> 0 then label end as output from {FLOWS_SQL} f")
+def k7(spark, sf_dir):
+    asked = flows(spark, sf_dir).select("flow_id", "src", "dst")
+    held = flows(spark, sf_dir).where("flow_id % 5 <> 0").withColumn("digest", K.request_digest("flow_id", "src", "dst")).withColumnRenamed("label", "output")
+    return K.cached(asked, held, ["flow_id", "src", "dst"], "output").select("flow_id", "output")
+
+
+@query("src_s7_capture", f"""select flow_id as frame, 60 + packets as length, '10.0.0.' || src % 256 as src, '10.1.0.' || dst as dst, case when flow_id % 2 = 0 then 'TCP' else 'UDP' end as l4, 1000 + dport as sport, 80 as dport, case when flow_id % 2 = 0 then 18 else 0 end as flags
+ from {FLOWS_SQL} f""".replace("flow_id as frame", "flow_id").replace("60 + packets as length", "(60 + packets)::bigint as length").replace("1000 + dport as sport, 80 as dport, case when flow_id % 2 = 0 then 18 else 0 end as flags", "(1000 + dport)::bigint as sport, 80::bigint as dport, (case when flow_id % 2 = 0 then 18 else 0 end)::bigint as flags"))
+def s7(spark, sf_dir):
+    """Each flow as a capture of one frame, made of its bytes in hexadecimal, and decoded again."""
+    h = lambda x, n: f"lpad(hex({x}), {n}, '0')"
+    little = lambda x: f"concat(substring({h(x, 8)}, 7, 2), substring({h(x, 8)}, 5, 2), substring({h(x, 8)}, 3, 2), substring({h(x, 8)}, 1, 2))"
+    ip = f"concat('45000028000000004006', '0000', '0A0000', {h('src % 256', 2)}, '0A0100', {h('dst', 2)})".replace("4006", "40', if(flow_id % 2 = 0, '06', '11'), '")
+    body = f"concat('0000000000000000000000000800', {ip}, {h('1000 + dport', 4)}, '0050', '00000000000000005012', '0000')"
+    raw = f"concat('D4C3B2A1020004000000000000000000FFFF000001000000', {little('1000')}, {little('5')}, {little(f'length({body}) / 2')}, {little('60 + packets')}, {body})"
+    captures = flows(spark, sf_dir).select(F.col("flow_id").cast("string").alias("path"), F.expr(f"unhex({raw})").alias("content"))
+    fields = C.decoded(captures)
+    numbered = fields.withColumn("frame_number", F.col("path"))
+    return S.packets(numbered).select(F.col("frame").alias("flow_id"), "length", "src", "dst", "l4", "sport", "dport", "flags")

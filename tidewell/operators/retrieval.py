@@ -1,10 +1,12 @@
-"""Lexical retrieval over texts: chunks, terms and BM25 as postings."""
+"""Retrieval over texts: chunks, terms, BM25 as postings, fusion with dense scores, stored indexes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources import sinks
+
 #: Fixed value: the pattern of a term.
 TERM = "[a-z][a-z0-9_-]{1,40}"
 
@@ -35,3 +37,30 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("a")))
     return tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats)).groupBy(query_key, key).agg(F.sum(part).alias("score"))
+
+
+def fused(scores: DataFrame, query: list[str], dense: str, lexical: str, key: str, k: int, weights: tuple[float, float] = (0.55, 0.45)) -> DataFrame:
+    """The ``k`` best of each query by a weighted sum of both scores, each brought to 0..1 within the query; ties by ``key``.
+
+    A score that is the same for all is 0. Least and greatest are aggregated first, a row for each query.
+    """
+    ends = scores.groupBy(*query).agg(*[f(c).cast("double").alias(f"_{n}_{c}") for c in (dense, lexical) for n, f in (("lo", F.min), ("hi", F.max))])
+    part = lambda c: F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}"), (F.col(c).cast("double") - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(0.0)
+    rows = scores.join(F.broadcast(ends), query).withColumn("_s", weights[0] * part(dense) + weights[1] * part(lexical))
+    best = Window.partitionBy(*query).orderBy(F.desc("_s"), key)
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*query, F.col("rank").cast("long").alias("rank"), key)
+
+
+def write_index(chunks: DataFrame, at: str) -> None:
+    """Chunks as a table, and beside it how many rows it has and their digest."""
+    chunks.write.mode("overwrite").parquet(f"{at}/chunks")
+    made = sinks.logical_hash(chunks.sparkSession.read.parquet(f"{at}/chunks")).first()
+    sinks.write_document(chunks.sparkSession, f"{at}/manifest.json", {"rows": made["rows"], "sha256": made["logical_sha256"]})
+
+
+def read_index(spark: SparkSession, at: str) -> DataFrame:
+    told = spark.read.option("multiLine", True).schema("rows long, sha256 string").json(f"{at}/manifest.json").first()
+    chunks = spark.read.parquet(f"{at}/chunks")
+    if tuple(sinks.logical_hash(chunks).first()) != (told["rows"], told["sha256"]):
+        raise ValueError("the index differs from its manifest")
+    return chunks

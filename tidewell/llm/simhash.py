@@ -105,7 +105,7 @@ def near_pairs(fps: DataFrame, distance: int = 2, blocks: int = 5, pairs: int =
 
 def link(docs: DataFrame, size: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest id reachable through near fingerprints."""
-    marked = fingerprints(docs, size)
+    marked, _ = written(fingerprints(docs, size), "fingerprints")  # texts are read and hashed once
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_pairs(distinct, distance, blocks))
     nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

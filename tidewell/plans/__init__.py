@@ -12,4 +12,4 @@ def oracle_sql():
 
 
 def _load():
-    from tidewell.plans import aggregates, evaluation, joins, scans, selections, texts, windows  # noqa: F401
+    from tidewell.plans import aggregates, context, evaluation, joins, scans, selections, splits, texts, windows  # noqa: F401

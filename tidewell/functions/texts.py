@@ -206,7 +206,7 @@ def masked(text: Column, most: int = 768) -> Column:
     """A payload without identities, secrets, times, tools and values, of at most ``most`` characters.
 
     Null for a response, and for a text of which nothing is left. Requests and texts with character references go
-    through Python first; all masks are Spark's.
+    through Python first; all masks are Spark's, in which a file's ending keeps its case.
     """
     if not 64 <= most <= 2048:
         raise ValueError("64 to 2048 characters")

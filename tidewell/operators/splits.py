@@ -20,25 +20,50 @@ SHARES = (0.70, 0.15, 0.15)
 RERANKED = 80
 
 
-def running_by_range(rows: DataFrame, key: str, sums: dict[str, str], cuts: int = 256, descending: bool = False, tie: str | None = None) -> DataFrame:
+def running_by_range(rows: DataFrame, key: str, sums: dict[str, str], cuts: int = 256, descending: bool = False, tie: str | None = None, groups: list[str] | None = None) -> DataFrame:
     """``rows`` with, for each ``name: column`` of ``sums``, the sum of the column over all rows before, in order of ``key``.
 
     Rows fall into ranges of the key, about equally filled; a window sums within a range, and the ranges' totals, a row
-    for each, are summed across. So no task orders the whole table. Rows of one key are in one range.
+    for each, are summed across. So no task orders the whole table, nor a whole group of ``groups``, within which the sums run
+    if it is given. Rows of one key are in one range.
     """
     ends = rows.select(F.percentile_approx(key, [k / cuts for k in range(1, cuts)], 20 * cuts)).first()[0] or []
-    edges = F.array(*[F.lit(e) for e in sorted(set(ends))]) if ends else F.array(F.lit(0))
+    by = groups or []
+    edges = F.array(*[F.lit(e) for e in sorted(set(ends))]) if ends else F.array().cast("array<double>")
     held = rows.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(key))))
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     order = [way(key), *([F.asc(tie)] if tie else [])]
-    near = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = held.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    joined = held.join(F.broadcast(offsets), "_range")
+    near = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*by).orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    # null-safe: an equality would let the optimizer infer a filter on the range's expression beyond the aggregate
+    offsets = offsets.withColumnsRenamed({c: f"_j_{c}" for c in [*by, "_range"]})
+    on = F.lit(True)
+    for c in [*by, "_range"]:
+        on = on & F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+    joined = held.join(offsets if by else F.broadcast(offsets), on).drop(*[f"_j_{c}" for c in [*by, "_range"]])
     return joined.withColumns({n: F.coalesce(F.sum(c).over(near), F.lit(0)) + F.col(f"_o_{n}") for n, c in sums.items()}).drop("_range", *[f"_o_{n}" for n in sums])
 
 
+def quantiles(rows: DataFrame, value: str, at: dict[str, float], groups: list[str] | None = None) -> DataFrame:
+    """A row, or one for each group: ``n`` and the quantiles of a column, interpolated between the two nearest ranks.
+
+    Ranks come from the counts of distinct values by range, so no task holds a group's values. Nulls are left out.
+    """
+    by = groups or []
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    run = running_by_range(counts, "_v", {"_before": "_c"}, groups=groups)
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
+    held = run.join(F.broadcast(sizes), by) if by else run.crossJoin(F.broadcast(sizes))
+    place = lambda q: (F.col("n") - 1) * F.lit(q)
+    ranked = lambda r: F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")), F.col("_v").cast("double")))
+    ends = [e for k, q in at.items() for e in (ranked(F.floor(place(q))).alias(f"_l_{k}"), ranked(F.ceil(place(q))).alias(f"_h_{k}"))]
+    out = held.groupBy(*by).agg(F.max("n").alias("n"), *ends)
+    between = lambda k, q: F.col(f"_l_{k}") + (F.col(f"_h_{k}") - F.col(f"_l_{k}")) * (place(q) - F.floor(place(q)))
+    return out.select(*by, "n", *[between(k, q).alias(k) for k, q in at.items()])
+
+
 def sides(start: np.ndarray, end: np.ndarray, first: np.ndarray, second: np.ndarray, embargo: float) -> Iterator[np.ndarray]:
     """For each pair of boundaries which sessions are in training, validation and test; the others are in quarantine."""
     for a, b in zip(first, second):

@@ -22,7 +22,7 @@ RECENT = 64
 
 
 def past_context(rows: DataFrame, keys: list[str], row: str, contributes: str, asks: str, horizons: Mapping[str, int], sums: Mapping[str, Column], distincts: Mapping[str, Column], eligible: Column | None = None, block: int = 86_400_000) -> DataFrame:
-    """``row`` and, for each horizon ``h``, ``{name}_{h}`` of every sum and distinct count; and ``last``, the latest contribution before.
+    """``row`` and, for each horizon ``h``, ``{name}_{h}`` of every sum and distinct count; ``last``, the latest contribution before, and ``asked``, the time.
 
     Times are whole numbers. Rows with a null key have no context; null values count in no sum and are no distinct value.
     Rows that are not ``eligible`` ask but do not contribute.
@@ -48,7 +48,7 @@ def past_context(rows: DataFrame, keys: list[str], row: str, contributes: str, a
     leaves = lambda n, s: F.least(F.col(f"_n_{n}"), F.col("_from") + s)
     events += [event(leaves(n, s), 2, h, d, came & F.col(f"_v_{n}").isNotNull()) for d, n in enumerate(names) for h, s in enumerate(spans)]
     line = base.select(*keys, "_id", *[f"_s_{n}" for n in sums], *[F.col(f"_v_{n}").isNotNull().alias(f"_h_{n}") for n in names], "_from", F.explode(F.array_compact(F.array(*events))).alias("_e"))
-    line = line.select("*", "_e.*").drop("_e").withColumn("_block", F.floor(F.col("at") / block))
+    line = line.select("*", "_e.*").drop("_e")
     enters = F.col("kind") == 1
     exits = lambda h, d: (F.col("kind") == 2) & (F.col("h") == h) & (F.col("d") == d)
     totals = {}
@@ -57,15 +57,42 @@ def past_context(rows: DataFrame, keys: list[str], row: str, contributes: str, a
             totals[f"{n}_{label}"] = F.sum(F.when(enters, F.col(f"_s_{n}")).when(exits(h, -1), -F.col(f"_s_{n}")))
         for d, n in enumerate(names):
             totals[f"{n}_{label}"] = F.sum(F.when(enters & F.col(f"_h_{n}"), 1).when(exits(h, d), -1))
-    seen = F.max(F.when(enters, F.col("at")))
+    out = before(line.withColumnRenamed("_id", row), keys, "at", totals, {"last": F.max(F.when(enters, F.col("at")))}, block, "kind = 0")
+    return out.select(row, *totals, "last", F.col("at").alias("asked"))
+
+
+def before(line: DataFrame, keys: list[str], at: str, sums: Mapping[str, Column], most: Mapping[str, Column], block: int, asked: str) -> DataFrame:
+    """The ``asked`` rows of a timeline with sums and maxima over the rows of their keys that come strictly before them.
+
+    ``sums`` and ``most`` are aggregates. A window sees the rows of a key within a block of time; what came in earlier
+    blocks is one row for each key and block, summed across.
+    """
+    line = line.withColumn("_block", F.floor(F.col(at) / block))
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = line.groupBy(*keys, "_block").agg(*[t.alias(n) for n, t in totals.items()], seen.alias("last"))
-    before = blocks.select(*keys, "_block", *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"_b_{n}") for n in totals], F.max("last").over(across).alias("_b_last"))
-    near = Window.partitionBy(*keys, "_block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    out = line.join(before, [*keys, "_block"]).select(
-        "_id", "kind", *[(F.coalesce(t.over(near), F.lit(0)) + F.col(f"_b_{n}")).cast("long").alias(n) for n, t in totals.items()], F.coalesce(seen.over(near), F.col("_b_last")).alias("last")
-    )
-    return out.where("kind = 0").drop("kind").withColumnRenamed("_id", row)
+    blocks = line.groupBy(*keys, "_block").agg(*[t.alias(n) for n, t in {**sums, **most}.items()])
+    earlier = blocks.select(*keys, "_block", *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.max(n).over(across).alias(f"_b_{n}") for n in most])
+    near = Window.partitionBy(*keys, "_block").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    found = {n: (F.coalesce(t.over(near), F.lit(0)) + F.col(f"_b_{n}")).cast("long") for n, t in sums.items()}
+    found |= {n: F.coalesce(t.over(near), F.col(f"_b_{n}")) for n, t in most.items()}
+    return line.join(earlier, [*keys, "_block"]).withColumns(found).where(asked).drop("_block", *[f"_b_{n}" for n in found])
+
+
+def crowded_context(claims: DataFrame, targets: DataFrame, keys: list[str], owner: str, holder: str, time: str, row: str, asks: str, horizon: int, out: str, block: int = 86_400_000) -> DataFrame:
+    """``row`` and how many owners of the key are claimed by two holders or more in ``[asks - horizon, asks)``.
+
+    A pair of owner and holder is there from a claim to the next one of the same pair, or to the end of its horizon. An
+    owner's number of pairs is a running total, and where it passes between one and two the key's number of crowded owners
+    changes; that number is a running total in turn. Nothing joins claims with targets.
+    """
+    again = Window.partitionBy(*keys, owner, holder).orderBy(time)
+    c = claims.dropna(subset=[*keys, owner, holder, time]).select(*keys, owner, holder, F.col(time).alias("_t"), F.least(F.lead(time).over(again), F.col(time) + horizon).alias("_u"))
+    steps = c.select(*keys, owner, F.explode(F.array(F.struct(F.col("_t").alias("at"), F.lit(1).alias("d")), F.struct(F.col("_u").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, owner, "e.*")
+    net = steps.groupBy(*keys, owner, "at").agg(F.sum("d").alias("d"))
+    upto = F.sum("d").over(Window.partitionBy(*keys, owner).orderBy("at"))
+    turns = net.withColumn("n", upto).select(*keys, "at", ((F.col("n") >= 2).cast("int") - (F.col("n") - F.col("d") >= 2).cast("int")).alias("turn")).where("turn <> 0")
+    line = turns.select(*keys, "at", "turn", F.lit(None).cast(dict(targets.dtypes)[row]).alias(row)).unionByName(targets.select(*keys, F.col(asks).alias("at"), F.lit(0).alias("turn"), row))
+    found = before(line, keys, "at", {out: F.sum("turn")}, {}, block, f"{row} is not null")
+    return found.select(row, out)
 
 
 class _Span:

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import sessions as S
+from tidewell.operators import splits as P
 from tidewell.plans.registry import query, read
 from tidewell.sources.flows import FLOWS_SQL, flows
 
@@ -104,8 +105,9 @@ def a11(spark, sf_dir):
 select count(distinct src) as keys, count(gap) as gaps, count(*) filter (gap > 0) as positive, count(*) filter (gap < 0) as negative, max(gap) as most, cast(quantile_cont(gap, 0.5) filter (gap > 0) as bigint) as p50, cast(quantile_cont(gap, 0.9) filter (gap > 0) as bigint) as p90 from g""")
 def a13(spark, sf_dir):
     g = flows(spark, sf_dir).withColumn("gap", F.col("start_ms") - F.lag("start_ms").over(Window.partitionBy("src").orderBy("flow_id")))
-    p = F.percentile(F.when(F.col("gap") > 0, F.col("gap")), F.array(F.lit(0.5), F.lit(0.9)))
-    return g.agg(F.count_distinct("src").alias("keys"), F.count("gap").alias("gaps"), F.count_if(F.col("gap") > 0).alias("positive"), F.count_if(F.col("gap") < 0).alias("negative"), F.max("gap").alias("most"), F.round(p[0]).cast("long").alias("p50"), F.round(p[1]).cast("long").alias("p90"))
+    p = P.quantiles(g.where("gap > 0"), "gap", {"p50": 0.5, "p90": 0.9}).select(F.round("p50").cast("long").alias("p50"), F.round("p90").cast("long").alias("p90"))
+    rest = g.agg(F.count_distinct("src").alias("keys"), F.count("gap").alias("gaps"), F.count_if(F.col("gap") > 0).alias("positive"), F.count_if(F.col("gap") < 0).alias("negative"), F.max("gap").alias("most"))
+    return rest.crossJoin(p)
 
 
 @query("agg_a14_episodes", f"""with o as (select *, case when start_ms - lag(start_ms) over (partition by src, dport order by flow_id) > 86400000 then 1 else 0 end as o from {FLOWS_SQL} f), e as (select *, sum(o) over (partition by src, dport order by flow_id rows unbounded preceding) as ep from o),
@@ -160,18 +162,20 @@ def a20(spark, sf_dir):
 @query("agg_a21_length_report", """with l as (select n_chars, row_number() over (order by n_chars) rn, count(*) over () n from documents) select max(n) as n, cast(sum(n_chars) as bigint) as total,
  max(n_chars) filter (rn = greatest(1, ceil(0.5 * n))) as p50, max(n_chars) filter (rn = greatest(1, ceil(0.95 * n))) as p95, max(n_chars) as most, count(*) filter (n_chars > 8192) as overflow from l""")
 def a21(spark, sf_dir):
-    """Nearest ranks from the counts of distinct lengths, not from a sorted list of all."""
+    """Nearest ranks from the counts of distinct lengths by range, not from a sorted list of all."""
     by = read(spark, sf_dir, "documents").groupBy("n_chars").agg(F.count("*").alias("c"))
-    up = by.withColumns({"upto": F.sum("c").over(Window.orderBy("n_chars")), "n": F.sum("c").over(Window.partitionBy())})
-    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))), F.col("n_chars")))
+    up = P.running_by_range(by, "n_chars", {"under": "c"}).crossJoin(F.broadcast(by.agg(F.sum("c").alias("n"))))
+    at = lambda q: F.min(F.when(F.col("under") + F.col("c") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))), F.col("n_chars")))
     return up.agg(F.max("n").alias("n"), F.sum(F.col("n_chars") * F.col("c")).alias("total"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("n_chars").alias("most"), F.coalesce(F.sum(F.when(F.col("n_chars") > 8192, F.col("c"))), F.lit(0)).alias("overflow"))
 
 
-@query("agg_a22_logical_hash", "with r as (select lang, sha256(doc_id || '|' || text) as h from documents) select lang, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as digest from r group by 1")
+@query("agg_a22_logical_hash", "with r as (select lang, sha256(doc_id || '|' || text) as h from documents), b as (select lang, substr(h, 1, 4) as b, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as d from r group by 1, 2) select lang, sum(n)::bigint as n, sha256(string_agg(b || ' ' || d, chr(10) order by b)) as digest from b group by 1")
 def a22(spark, sf_dir):
-    """Order-free digest of a partition; hashes are combined by bucket first where a partition is too large for one list."""
+    """Order-free digest of a partition: of its rows' digests by bucket, then of the buckets', 65,536 at most."""
     r = read(spark, sf_dir, "documents").select("lang", F.sha2(F.concat_ws("|", "doc_id", "text"), 256).alias("h"))
-    return r.groupBy("lang").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("digest"))
+    lines = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    b = r.groupBy("lang", F.substring("h", 1, 4).alias("b")).agg(F.count("*").alias("n"), lines("h").alias("d"))
+    return b.groupBy("lang").agg(F.sum("n").alias("n"), lines(F.concat_ws(" ", "b", "d")).alias("digest"))
 
 
 @query("agg_a23_relation_anomaly", f"""with p as (select src % 4 as scope, dport as ip, dst % 20 as mac, count(*) n from {FLOWS_SQL} f group by all having count(*) >= 2), i as (select scope, ip, count(*) as macs from p group by all)

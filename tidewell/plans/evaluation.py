@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import scalars as X
 from tidewell.operators import metrics as M
 from tidewell.operators import retrieval as R
+from tidewell.operators import splits as P
 from tidewell.plans.registry import query, read
 from tidewell.sources.flows import FLOWS_SQL, flows
 
@@ -47,8 +48,9 @@ def e4(spark, sf_dir):
 
 @query("evl_e5_score_stats", f"select truth, count(*) as n, cast(sum(score) as bigint) as total, quantile_cont(score, 0.5) as median, quantile_cont(score, 0.75) as p75, quantile_cont(score, 0.9) as p90 from {_PRED} p group by 1")
 def e5(spark, sf_dir):
-    q = F.percentile("score", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    return _pred(spark, sf_dir).groupBy("truth").agg(F.count("*").alias("n"), F.sum("score").alias("total"), q.alias("q")).select("truth", "n", "total", F.col("q")[0].alias("median"), F.col("q")[1].alias("p75"), F.col("q")[2].alias("p90"))
+    p = _pred(spark, sf_dir)
+    total = p.groupBy("truth").agg(F.sum("score").alias("total"))
+    return P.quantiles(p, "score", {"median": 0.5, "p75": 0.75, "p90": 0.9}, ["truth"]).join(total, "truth").select("truth", "n", "total", "median", "p75", "p90")
 
 
 @query("evl_e6_auroc", f"with b as (select score s, count(*) filter (truth = 'error') p, count(*) filter (truth <> 'error') q from {_PRED} x group by 1), r as (select *, coalesce(sum(q) over (order by s rows between unbounded preceding and 1 preceding), 0) below from b) select cast(sum(p) as bigint) as positives, cast(sum(q) as bigint) as negatives, cast(sum(p * (2 * below + q)) as bigint) as wins2 from r")
@@ -59,7 +61,7 @@ def e6(spark, sf_dir):
 @query("evl_e7_threshold", f"with t as (select quantile_cont(score, 0.95) as cut from {_PRED} p where truth <> 'error') select cut, count(*) filter (truth = 'error' and score >= cut) as caught, count(*) filter (truth <> 'error' and score >= cut) as wrong from {_PRED} p, t group by cut")
 def e7(spark, sf_dir):
     p = _pred(spark, sf_dir)
-    cut = p.where("truth <> 'error'").agg(F.percentile("score", 0.95).alias("cut"))  # one row
+    cut = P.quantiles(p.where("truth <> 'error'"), "score", {"cut": 0.95}).select("cut")  # one row
     return p.crossJoin(F.broadcast(cut)).groupBy("cut").agg(F.count_if((F.col("truth") == "error") & (F.col("score") >= F.col("cut"))).alias("caught"), F.count_if((F.col("truth") != "error") & (F.col("score") >= F.col("cut"))).alias("wrong"))
 
 
@@ -173,14 +175,14 @@ def r5(spark, sf_dir):
 
 
 _BM25 = """with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{1,40}')) as term from documents), p as (select doc_id, term, count(*) tf from t group by all), l as (select doc_id, sum(tf) len from p group by 1), s as (select count(*) n, avg(len) a from (select d.doc_id, coalesce(len, 0) len from documents d left join l using (doc_id))),
-q as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{1,40}')) as term from benchmark where item_id < 5), qt as (select item_id, term, count(*) qf from q group by all), df as (select term, count(*) df from p group by 1),
+q as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{1,40}')) as term from benchmark), qt as (select item_id, term, count(*) qf from q group by all), df as (select term, count(*) df from p group by 1),
 sc as (select item_id, doc_id, round(sum(qf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / a))), 6) as score from qt join p using (term) join df using (term) join l using (doc_id), s group by all)
 select item_id, doc_id, score from sc qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10"""
 
 
 @query("txt_r6_bm25", _BM25)
 def r6(spark, sf_dir):
-    d, q = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").where("item_id < 5")
+    d, q = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     scored = R.bm25(d, "doc_id", "text", q, "item_id", "text").withColumn("score", F.round("score", 6))
     return scored.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("r <= 10").select("item_id", "doc_id", "score")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import selection as P
 from tidewell.operators import sessions as S
+from tidewell.operators import splits as G
 from tidewell.plans.registry import query, read
 from tidewell.sources.flows import FLOWS_SQL, flows
 
@@ -48,24 +49,29 @@ def z4(spark, sf_dir):
 @query("spl_z5_chronological", f"""with b as (select *, min(start_ms) over (partition by src % 4) lo, max(end_ms) over (partition by src % 4) hi from {FLOWS_SQL} f), c as (select *, lo + (hi - lo) * 0.70::double x, lo + (hi - lo) * 0.85::double y from b)
 select flow_id, case when end_ms <= x - 1800000 then 'train' when start_ms >= x + 1800000 and end_ms <= y - 1800000 then 'validation' when start_ms >= y + 1800000 then 'test' else 'quarantine' end as split from c""")
 def z5(spark, sf_dir):
-    w = Window.partitionBy("capture")
-    f = flows(spark, sf_dir).withColumn("capture", F.col("src") % 4).withColumns({"lo": F.min("start_ms").over(w), "hi": F.max("end_ms").over(w)})
-    return f.select("flow_id", S.chronological_split("start_ms", "end_ms", F.col("lo"), F.col("hi"), _HOUR).alias("split"))
+    """The ends of each capture are aggregated and joined, so that no task holds a capture."""
+    f = flows(spark, sf_dir).withColumn("capture", F.col("src") % 4)
+    ends = f.groupBy("capture").agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"))
+    return f.join(ends, "capture").select("flow_id", S.chronological_split("start_ms", "end_ms", F.col("lo"), F.col("hi"), _HOUR).alias("split"))
 
 
 @query("spl_z6_gap_chooser", f"""with d as (select src % 4 as capture, quantile_cont(end_ms - start_ms, 0.999) as q, max(end_ms) - min(start_ms) as span from {FLOWS_SQL} f group by 1)
 select capture, cast(least(greatest(5000, ceil(q)), floor(span * 0.02::double)) as bigint) as gap from d""")
 def z6(spark, sf_dir):
-    d = flows(spark, sf_dir).groupBy((F.col("src") % 4).alias("capture")).agg(F.percentile(F.col("end_ms") - F.col("start_ms"), 0.999).alias("q"), (F.max("end_ms") - F.min("start_ms")).alias("span"))
+    f = flows(spark, sf_dir).select((F.col("src") % 4).alias("capture"), (F.col("end_ms") - F.col("start_ms")).alias("d"), "start_ms", "end_ms")
+    spans = f.groupBy("capture").agg((F.max("end_ms") - F.min("start_ms")).alias("span"))
+    d = G.quantiles(f, "d", {"q": 0.999}, ["capture"]).join(spans, "capture")
     return d.select("capture", F.least(F.greatest(F.lit(5000), F.ceil("q")), F.floor(F.col("span") * F.lit(0.02))).cast("long").alias("gap"))
 
 
 @query("spl_z8_rank_boundaries", f"with r as (select src % 4 as capture, start_ms, row_number() over (partition by src % 4 order by start_ms, flow_id) rn, count(*) over (partition by src % 4) n from {FLOWS_SQL} f) select capture, max(start_ms) filter (rn = least(n, n * 7 // 10 + 1)) as first_ms, max(start_ms) filter (rn = least(n, n * 85 // 100 + 1)) as second_ms from r group by 1")
 def z8(spark, sf_dir):
-    w = Window.partitionBy("capture")
-    r = flows(spark, sf_dir).withColumn("capture", F.col("src") % 4).withColumns({"rn": F.row_number().over(w.orderBy("start_ms", "flow_id")), "n": F.count("*").over(w)})
-    at = lambda a, b: F.max(F.when(F.col("rn") == F.least(F.col("n"), F.floor(F.col("n") * a / b) + 1), F.col("start_ms")))
-    return r.groupBy("capture").agg(at(7, 10).alias("first_ms"), at(85, 100).alias("second_ms"))
+    """Ranks from the counts of distinct times by range."""
+    by = flows(spark, sf_dir).groupBy((F.col("src") % 4).alias("capture"), "start_ms").agg(F.count("*").alias("c"))
+    run = G.running_by_range(by, "start_ms", {"under": "c"}, groups=["capture"]).join(by.groupBy("capture").agg(F.sum("c").alias("n")), "capture")
+    rank = lambda a, b: F.least(F.col("n"), F.floor(F.col("n") * a / b) + 1)
+    at = lambda a, b: F.max(F.when((F.col("under") < rank(a, b)) & (rank(a, b) <= F.col("under") + F.col("c")), F.col("start_ms")))
+    return run.groupBy("capture").agg(at(7, 10).alias("first_ms"), at(85, 100).alias("second_ms"))
 
 
 @query("spl_z9_embargo", f"with b as (select *, 1705276800000 as x, 1705881600000 as y from {FLOWS_SQL} f) select flow_id, case when end_ms <= x - 3600000 then 'train' when start_ms >= x + 3600000 and end_ms <= y - 3600000 then 'validation' when start_ms >= y + 3600000 then 'test' else 'quarantine' end as split from b")

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.operators import context as C
 from tidewell.operators import history as H
 from tidewell.plans.registry import query, read
 from tidewell.sources.flows import FLOWS_SQL, flows
@@ -21,11 +22,10 @@ def _w2_sql() -> str:
 
 @query("win_w2_history", _w2_sql())
 def w2(spark, sf_dir):
-    rows, cols = flows(spark, sf_dir), []
-    for n, h in HORIZONS.items():
-        w = H.past(["src"], "start_ms", h)
-        cols += [F.count("*").over(w).alias(f"n_{n}"), H.distinct_over("dst", w).alias(f"dsts_{n}"), H.distinct_over("dport", w).alias(f"ports_{n}"), F.coalesce(F.sum("bytes").over(w), F.lit(0)).alias(f"bytes_{n}")]
-    return rows.select("flow_id", *cols, H.last_seen_gap(["src"], "start_ms").alias("gap"))
+    """Counts, sums and distinct counts of three horizons and the gap, by one timeline of each source."""
+    rows = flows(spark, sf_dir)
+    c = C.past_context(rows, ["src"], "flow_id", "start_ms", "start_ms", HORIZONS, {"n": F.lit(1), "bytes": F.col("bytes")}, {"dsts": F.col("dst"), "ports": F.col("dport")})
+    return c.withColumn("gap", F.coalesce(F.col("asked") - F.col("last"), F.lit(-1))).drop("asked", "last")
 
 
 @query("win_w3_completed_history", f"""with t as (select *, start_ms as moment, true as is_target from {FLOWS_SQL} f union all select *, end_ms, false from {FLOWS_SQL} g),
@@ -52,9 +52,12 @@ def w4(spark, sf_dir):
  cast(coalesce(sum(packets) over s, 0) as bigint) as packets from (select *, src % 4 as scope from {FLOWS_SQL} f) g window s as (partition by scope order by start_ms range between {HOUR} preceding and 1 preceding),
  d as (partition by scope, dst order by start_ms range between {24 * HOUR} preceding and 1 preceding), p as (partition by scope, src, dst order by start_ms range between {24 * HOUR} preceding and 1 preceding)""")
 def w5(spark, sf_dir):
+    """A scope is few keys with many rows, so its timeline is cut to blocks of time."""
     rows = flows(spark, sf_dir).withColumns({"scope": F.col("src") % 4, "service": F.concat_ws(":", "dst", "dport")})
-    s, d, p = H.past(["scope"], "start_ms", HOUR), H.past(["scope", "dst"], "start_ms", 24 * HOUR), H.past(["scope", "src", "dst"], "start_ms", 24 * HOUR)
-    return rows.select("flow_id", F.count("*").over(s).alias("prior"), H.distinct_over("dst", s).alias("dsts"), H.distinct_over("service", s).alias("services"), H.distinct_over("src", d).alias("srcs"), F.count("*").over(p).alias("pair"), F.coalesce(F.sum("packets").over(s), F.lit(0)).alias("packets"))
+    ask = lambda keys, hours, sums, distincts: C.past_context(rows, ["scope", *keys], "flow_id", "start_ms", "start_ms", {"": hours * HOUR}, sums, distincts).drop("last", "asked")
+    out = ask([], 1, {"prior": F.lit(1), "packets": F.col("packets")}, {"dsts": F.col("dst"), "services": F.col("service")})
+    out = out.join(ask(["dst"], 24, {}, {"srcs": F.col("src")}), "flow_id").join(ask(["src", "dst"], 24, {"pair": F.lit(1)}, {}), "flow_id")
+    return out.withColumnsRenamed({c: c.removesuffix("_") for c in out.columns if c.endswith("_")})
 
 
 @query("win_w6_previous_same_pair", f"""select flow_id, max(start_ms * 1000000 + flow_id) over (partition by src, dport order by start_ms range between unbounded preceding and 1 preceding) % 1000000 as previous from {FLOWS_SQL} f""")
@@ -63,19 +66,6 @@ def w6(spark, sf_dir):
     return flows(spark, sf_dir).select("flow_id", latest["flow_id"].alias("previous"))
 
 
-_W7 = f"""with g as (select *, start_ms - lag(start_ms) over (partition by src order by start_ms, flow_id) as gap from {FLOWS_SQL} f)
-select flow_id, count(*) over w as prior, count(*) filter (dst % 2 = 0) over w as even, cast(coalesce(sum(bytes) over w, 0) as bigint) as bytes, cast(coalesce(max(gap) over w, 0) as bigint) as longest, cast(coalesce(sum(gap) over w, 0) as bigint) as gaps
- from g window w as (partition by src order by start_ms range between {24 * HOUR} preceding and 1 preceding)"""
-
-
-@query("win_w7_temporal_evidence", _W7)
-def w7(spark, sf_dir):
-    w = H.past(["src"], "start_ms", 24 * HOUR)
-    rows = H.intervals(flows(spark, sf_dir), ["src"], "start_ms", "flow_id")
-    zero = lambda c: F.coalesce(c.over(w), F.lit(0)).cast("long")
-    return rows.select("flow_id", F.count("*").over(w).alias("prior"), F.count_if(F.col("dst") % 2 == 0).over(w).alias("even"), zero(F.sum("bytes")).alias("bytes"), zero(F.max("gap")).alias("longest"), zero(F.sum("gap")).alias("gaps"))
-
-
 _W9 = f"""with c as (select flow_id, count(*) over w as prior, count(distinct dport) over w as ports, count(distinct dst) over w as hosts, count(*) filter (packets <= 8) over w as probes
  from {FLOWS_SQL} f window w as (partition by src order by start_ms range between {6 * 24 * HOUR} preceding and 1 preceding))
 select flow_id, prior, ports, hosts, probes, (prior >= 8 and ports >= 8 and hosts <= 3 and 2 * probes >= prior) as vertical, (prior >= 8 and hosts >= 8 and ports <= 3 and 2 * probes >= prior) as horizontal from c"""
@@ -83,8 +73,8 @@ select flow_id, prior, ports, hosts, probes, (prior >= 8 and ports >= 8 and host
 
 @query("win_w9_scan_context", _W9)
 def w9(spark, sf_dir):
-    w = H.past(["src"], "start_ms", 6 * 24 * HOUR)
-    c = flows(spark, sf_dir).select("flow_id", F.count("*").over(w).alias("prior"), H.distinct_over("dport", w).alias("ports"), H.distinct_over("dst", w).alias("hosts"), F.count_if(F.col("packets") <= 8).over(w).alias("probes"))
+    c = C.past_context(flows(spark, sf_dir), ["src"], "flow_id", "start_ms", "start_ms", {"": 6 * 24 * HOUR}, {"prior": F.lit(1), "probes": (F.col("packets") <= 8).cast("int")}, {"ports": F.col("dport"), "hosts": F.col("dst")})
+    c = c.select("flow_id", *[F.col(f"{n}_").alias(n) for n in ("prior", "ports", "hosts", "probes")])
     likely = (F.col("prior") >= 8) & (2 * F.col("probes") >= F.col("prior"))
     return c.select("*", (likely & (F.col("ports") >= 8) & (F.col("hosts") <= 3)).alias("vertical"), (likely & (F.col("hosts") >= 8) & (F.col("ports") <= 3)).alias("horizontal"))
 
@@ -130,18 +120,13 @@ def w1(spark, sf_dir):
     return rows.where("rn = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copies")
 
 
-_CLAIMS = f"(select start_ms as at, dst % 40 as mac, dport % 6 as ip, src % 4 as scope from {FLOWS_SQL} f where flow_id % 5 = 0)"
-
-
-@query("win_w10_relation_graph", f"""with c as {_CLAIMS}, t as (select flow_id, start_ms, src % 4 as scope, dport % 6 as ip from {FLOWS_SQL} f where flow_id % 40 = 1),
-m as (select t.flow_id, t.ip as target, c.mac, c.ip, count(*) n from t join c on c.scope = t.scope and c.at >= t.start_ms - {24 * HOUR} and c.at < t.start_ms group by all), r as (select * from m where n >= 1),
-i as (select flow_id, ip, count(distinct mac) as macs from r group by all), k as (select flow_id, mac, count(distinct ip) as ips from r group by all)
-select t.flow_id, coalesce(a.n, 0) as contested, coalesce(b.n, 0) as many from t left join (select flow_id, count(*) n from i where macs >= 2 group by all) a using (flow_id) left join (select flow_id, count(*) n from k where ips >= 2 group by all) b using (flow_id)""")
+@query("win_w10_relation_graph", f"""with f as {FLOWS_SQL}, c as (select start_ms as at_ms, dst % 40 as mac, dport % 6 as ip, src % 4 as scope from f),
+m as (select t.flow_id, c.mac, c.ip from f t join c on c.scope = t.src % 4 and c.at_ms >= t.start_ms - {24 * HOUR} and c.at_ms < t.start_ms group by all),
+i as (select flow_id, ip, count(*) as macs from m group by all), k as (select flow_id, mac, count(*) as ips from m group by all)
+select f.flow_id, coalesce(a.n, 0) as contested, coalesce(b.n, 0) as many from f left join (select flow_id, count(*) n from i where macs >= 2 group by all) a using (flow_id) left join (select flow_id, count(*) n from k where ips >= 2 group by all) b using (flow_id)""")
 def w10(spark, sf_dir):
+    """All claims and all targets: addresses with several hardware addresses and hardware addresses with several addresses, by running totals."""
     f = flows(spark, sf_dir).withColumn("scope", F.col("src") % 4)
-    day = 24 * HOUR
-    claims = f.where("flow_id % 5 = 0").select("scope", F.col("start_ms").alias("at"), (F.col("dst") % 40).alias("mac"), (F.col("dport") % 6).alias("ip"), F.explode(F.array(F.floor(F.col("start_ms") / day), F.floor(F.col("start_ms") / day) + 1)).alias("day"))
-    targets = f.where("flow_id % 40 = 1").select("flow_id", "start_ms", "scope", F.floor(F.col("start_ms") / day).alias("day"))
-    seen = targets.join(claims, ["scope", "day"]).where((F.col("at") >= F.col("start_ms") - day) & (F.col("at") < F.col("start_ms"))).groupBy("flow_id", "mac", "ip").agg(F.count("*").alias("n")).where("n >= 1")
-    many = lambda key, other, out: seen.groupBy("flow_id", key).agg(F.count_distinct(other).alias("d")).where("d >= 2").groupBy("flow_id").agg(F.count("*").alias(out))
-    return targets.select("flow_id").join(many("ip", "mac", "contested"), "flow_id", "left").join(many("mac", "ip", "many"), "flow_id", "left").na.fill(0)
+    claims = f.select("scope", "start_ms", (F.col("dst") % 40).alias("mac"), (F.col("dport") % 6).alias("ip"))
+    ask = lambda owner, holder, out: C.crowded_context(claims, f, ["scope"], owner, holder, "start_ms", "flow_id", "start_ms", 24 * HOUR, out)
+    return ask("ip", "mac", "contested").join(ask("mac", "ip", "many"), "flow_id")

@@ -140,6 +140,28 @@ def test_language_id(spark):
     assert by[200]["lang_pred"] == by[201]["lang_pred"] == "und" and by[202]["lang_pred"] == "aa" and by[None]["lang_pred"] == "bb"
 
 
+def test_language_model_equals_kernel_ridge_regression():
+    """The folded weights against explicit kernels: landmarks, their inverse square root, one-versus-rest ridge."""
+    r = random.Random(16)
+    words = {"aa": ["kolo", "miku", "tavo", "rilo"], "bb": ["szcz", "przy", "wrzk", "grzb"], "cc": ["ngua", "mwezi", "jambo", "kolo"]}
+    texts, langs = zip(*[(" ".join(r.choices(words[y], k=r.randint(1, 6))), y) for y in (r.choice(sorted(words)) for _ in range(40))])
+    sets = [set(langid.places(t).tolist()) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [x for y in sorted(words) for x in [s for s, z in zip(sets, langs) if z == y][:4]]
+    own = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(own)
+    whiten = vectors @ np.diag(np.maximum(values, 1e-6 * values.max()) ** -0.5) @ vectors.T
+    features = lambda some: np.array([[kernel(a, b) for b in marks] for a in some]) @ whiten
+    x = features(sets)
+    y = np.array([[1.0 if z == n else -1.0 for n in sorted(words)] for z in langs])
+    beta = np.linalg.solve(x.T @ x + langid.RIDGE * len(x) * np.eye(len(marks)), x.T @ y)
+    asked = ["kolo tavo", "przy", "jambo kolo miku", "zzz qqq", "K"]
+    out = features([set(langid.places(t).tolist()) for t in asked]) @ beta
+    got = langid.fit_rows(list(texts), list(langs), landmarks=4).predict(asked)
+    assert got[0] == [sorted(words)[k] for k in out.argmax(1)]
+    assert got[1] == pytest.approx(np.clip((1 + out.max(1)) / 2, 0, 1).tolist(), abs=1e-3)
+
+
 def brute_fingerprint(text, k):
     w = text.encode().lower().split()
     if not w:
@@ -240,6 +262,49 @@ def test_suffix_dedup(spark, docs, hot, monkeypatch):
         assert kept[i]["text"] == bytes(np.frombuffer(x, np.uint8)[~g]).decode("utf-8", "ignore") and kept[i]["key"] == "k"
 
 
+def test_previous_factors_equal_brute_force():
+    r = random.Random(13)
+    for letters, n in ((b"ab", 60), (b"a", 40), (b"abcd\0", 120)):
+        x = bytes(r.choice(letters) for _ in range(n))
+        starts = np.arange(n)
+        order = np.array(sorted(range(n), key=lambda k: x[k:]))
+
+        def share(a, b, x=x):
+            m = 0
+            while max(a, b) + m < len(x) and x[a + m] == x[b + m]:
+                m += 1
+            return m
+
+        common = np.array([0] + [share(a, b) for a, b in zip(order.tolist(), order[1:].tolist())])
+        want = {i: max((share(i, j) for j in range(i)), default=0) for i in range(n)}
+        assert dict(zip(order.tolist(), suffixes.previous_factors(order, common).tolist())) == want
+        for depth in (1, 3, 7):
+            starts = np.arange(n - depth + 1)
+            found, shared = suffixes.suffix_order(x, starts, depth)
+            strings = [x[k : k + depth] for k in found.tolist()]
+            assert strings == sorted(strings) and shared.tolist()[1:] == [min(depth, share(a, b)) for a, b in zip(found.tolist(), found.tolist()[1:])]
+            assert suffixes.repeated(x, starts, depth, True).tolist() == [i for i in starts.tolist() if x.find(x[i : i + depth]) < i]
+
+
+def test_colliding_hashes_are_settled_by_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "rolling", lambda x, n: np.zeros(len(x) - n + 1, np.uint64))
+    assert suffixes.repeated(b"abcabd", np.arange(5), 2, False).tolist() == [0, 3]
+
+
+def test_query_needs_the_factors(spark, docs, monkeypatch):
+    """The query's digests come by the factors: without them it finds less."""
+    want = suffixes.digests(docs).agg(F.sum("n_removed")).first()[0]
+    monkeypatch.setattr(suffixes, "_settle", lambda later: lambda batches: iter(()))
+    assert suffixes.digests(docs).agg(F.sum("n_removed")).first()[0] < want
+
+
+def test_hot_keys_are_dealt_out_and_lose_no_row(spark, docs, monkeypatch):
+    want = Counter(map(tuple, suffixes.digests(docs).collect()))
+    monkeypatch.setattr(suffixes, "HOT_KEYS", 1 << 40)
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    assert Counter(map(tuple, suffixes.digests(docs).collect())) == want
+
+
 def test_long_texts_are_cut_with_overlap(monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 500)
     r = random.Random(6)
@@ -464,6 +529,58 @@ def test_pipeline_stages(spark, docs):
     assert kept.count() > 0 and "sequence_id" in kept.columns
 
 
+def test_pipeline_equals_brute_force_stage_by_stage(spark, tmp_path):
+    """Each stage against a brute-force version of it on what the stage before kept, and the chain's packed ids."""
+    import corpus_pipeline
+
+    r = random.Random(17)
+    words = {"aa": ["kolo", "miku", "tavo", "rilo", "sena", "duvi"], "bb": ["szcz", "przy", "wrzk", "grzb", "chrz", "trzc"]}
+    make = lambda y, n: [r.choice(words[y]) + r.choice("abcdefgh") for _ in range(n)]
+    rows = []
+    passage = make("aa", 60)
+    for i in range(120):
+        y = "aa" if i % 2 else "bb"
+        w = make(y, r.randint(30, 120))
+        if i % 10 == 1:
+            w = w[:10] + passage + w[10:]
+        rows.append((i, " ".join(w), y, 99.0, "p"))
+    for i in range(120, 150):  # copies with one word of many changed
+        w = rows[i - 60][1].split()
+        w[r.randrange(len(w))] = "kolox"
+        rows.append((i, " ".join(w), None, 99.0, "q"))
+    rows += [(150, None, "aa", 1.0, None), (151, "12 34", None, 1.0, None), (152, "", "bb", 1.0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.language(spark, df.withColumn("n_chars", F.length("text").cast("long")), "")
+    after = sorted(map(tuple, kept.collect()), key=lambda x: x[0])
+    model = langid.fit_rows(*(found := langid.sample_rows(df.select("doc_id", "text", "lang"))))
+    bar = langid.least_score(*found)
+    told = dict(zip([x[0] for x in rows], zip(*model.predict([x[1] for x in rows]))))
+    assert [x[:5] for x in after] == [x for x in rows if told[x[0]][0] != "und" and told[x[0]][1] >= bar]
+    root = reachable(len(after), lambda a, b: similarity_of(after[a][1], after[b][1]) >= 0.8)
+    firsts = [x for k, x in enumerate(after) if root[k] == k]
+    assert len(firsts) < len(after)
+    near = corpus_pipeline.near_copies(spark, spark.createDataFrame(after, kept.schema), "")
+    assert sorted(x["doc_id"] for x in near.collect()) == [x[0] for x in firsts]
+    texts = [(x[0], x[1].encode()) for x in firsts]
+    want = {i: bytes(np.frombuffer(x, np.uint8)[~g]).decode() for (i, x), g in zip(texts, brute_covered(texts, True, suffixes.MATCH))}
+    cut = corpus_pipeline.passages(spark, spark.createDataFrame(firsts, kept.schema), "").collect()
+    assert {x["doc_id"]: x["text"] for x in cut} == want and {x["doc_id"]: x["n_chars"] for x in cut} == {i: len(t) for i, t in want.items()}
+    assert sum(map(len, want.values())) < sum(len(x) for _, x in texts)
+    df.withColumn("n_chars", F.length("text").cast("long")).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    got = defaultdict(dict)
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[x["doc_id"]][x["start"]] = np.frombuffer(x["ids"], "<u4").tolist()
+    assert {i: sum((p[k] for k in sorted(p)), []) for i, p in got.items()} == {i: [*library_ids(WORD, t), 1] for i, t in want.items()}
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_least_count_is_the_nth_largest(spark):
     counts = [1, 1, 2, 3, 3, 3, 8, 90, 700, 700, 5000]
     df = spark.createDataFrame([(n,) for n in counts], "n long")
@@ -474,11 +591,86 @@ def test_least_count_is_the_nth_largest(spark):
     assert stupid_backoff.least_count(df.limit(0), 1, 0) == 1
 
 
-def test_spanning_groups_connect_all_near_rows():
+def brute_shingles(text, size=5):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similarity_of(a, b):
+    x, y = brute_shingles(a), brute_shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def near_texts(r, n, words=120):
+    """``n`` pairs of a text and a copy with some words in a row replaced, of similarities from 0.7 to 1."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    out = []
+    for _ in range(n):
+        base = [word() for _ in range(r.randint(words // 2, 2 * words))]
+        copy, cut = list(base), r.randint(0, len(base) // 5)
+        at = r.randrange(len(base) - cut)
+        copy[at : at + cut] = [word() for _ in range(cut)]
+        out.append((" ".join(base), " ".join(copy)))
+    return out
+
+
+def test_near_copies_are_those_of_the_similarity(spark):
+    """No pair below 0.8 links; of the pairs at 0.8 or more at least 0.95 do, and of those up to 0.85 as well."""
+    pairs = near_texts(random.Random(14), 700)
+    rows = [(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    root = {g["doc_id"]: g["root"] for g in simhash.wide_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = {k: similarity_of(*p) for k, p in enumerate(pairs)}
+    linked = {k for k in of if root[2 * k] == root[2 * k + 1]}
+    assert all(of[k] >= 0.8 for k in linked)
+    for most in (1.1, 0.85):
+        meant = [k for k in of if 0.8 <= of[k] < most]
+        assert len(meant) > 80 and len(linked & set(meant)) >= 0.95 * len(meant)
+
+
+def test_short_texts_link_by_their_shingles(spark):
+    rows = [(0, "a b c d e f g h i j"), (1, "a b c d e f g h i x"), (2, "A b c d e f g h i j"), (3, ""), (4, None), (5, " "), (6, "a b"), (7, "a  b"), (8, "b a")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(k["doc_id"] for k in kept) == [0, 1, 3, 6, 8]
+
+
+def test_long_texts_are_compared_share_by_share(spark):
+    pairs = near_texts(random.Random(18), 120)
+    rows = [(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    texts = spark.createDataFrame(rows, "rep long, text string")
+    sized = spark.createDataFrame([(2 * k, 2 * k + 1, *(len(brute_shingles(t)) for t in p)) for k, p in enumerate(pairs)], "u long, v long, nu long, nv long")
+    got = {x["u"] // 2 for x in simhash.similar(sized, texts, 5, 0.8, share=16).collect()}
+    want = {k for k, p in enumerate(pairs) if similarity_of(*p) >= 0.8}
+    assert got == want and 20 < len(want) < 110
+
+
+def test_a_crowd_of_near_copies_is_one_group(spark, monkeypatch):
+    """300 copies of one text with a few words changed, in groups of which a task compares 16: all links are found."""
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = [(1000 + k, " ".join(word() for _ in range(100))) for k in range(40)]
+    for k in range(300):
+        copy = list(base)
+        for _ in range(r.randint(1, 2)):
+            copy[r.randrange(150)] = word()
+        rows.append((k, " ".join(copy)))
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(k["doc_id"] for k in kept) == [0, *range(1000, 1040)]
+
+
+def test_columns_named_as_the_keys_stay(spark):
+    rows = [(0, "one two", 5, "m", 1.5, "x"), (1, "one two", 6, "n", 2.5, "y"), (2, "three", 7, "o", 3.5, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long, mark string, score double, lang_pred string")
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns and sorted(tuple(k) for k in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_candidate_pairs_of_groups_connect_all_near_rows():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 1 << 63, (20, simhash.WORDS), dtype=np.uint64)[rng.integers(0, 20, 400)]
     for row in fps:
-        for bit in rng.integers(0, 512, rng.integers(0, 80)):
+        for bit in rng.integers(0, 64 * simhash.WORDS, rng.integers(0, 40)):
             row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     group = np.sort(np.concatenate([rng.integers(0, 40, 200), rng.integers(40, 43, 200)]))
 
@@ -489,21 +681,8 @@ def test_spanning_groups_connect_all_near_rows():
             of = [min(a, b) if r in (a, b) else r for r in of]
         return of
 
-    for bits in (40, 84):
+    for bits in (20, 42):
         near = [(i, j) for i in range(400) for j in range(i + 1, 400) if group[i] == group[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= bits]
-        found = simhash.spanning_groups(group, fps, bits)
+        found = simhash.group_pairs(group, fps, bits).tolist()
         assert len(near) > 50 and set(map(tuple, map(sorted, found))) <= set(near)
         assert roots(found) == roots(near)
-
-
-def test_pairs_of_a_hot_block_are_linked(spark, monkeypatch):
-    """Pairs that share one block alone, which all fingerprints share: 40 times as many as are compared at once."""
-    monkeypatch.setattr(simhash, "GROUP", 8)
-    rng = np.random.default_rng(2)
-    one = rng.integers(0, 1 << 63, (160, simhash.WORDS), dtype=np.uint64)
-    one.view("<u2")[:, 0] = 7
-    two = one.copy()
-    two.view("<u2")[:, 1:] ^= 4
-    rows = [(k, f.tobytes()) for k, f in enumerate([*one, *two])]
-    links = simhash.wide_links(spark.createDataFrame(rows, "rep long, fp binary"), simhash.allowed(0.8)).collect()
-    assert {(min(e), max(e)) for e in links} == {(k, k + 160) for k in range(160)}

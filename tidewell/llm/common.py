@@ -11,7 +11,6 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows of one Arrow batch. Whole texts travel in it, so it bounds a Python worker's memory.
 BATCH_ROWS = 256
@@ -44,6 +43,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores before it until no column has it."""
+    out = []
+    for w in wanted:
+        while w in {n.lower() for n in [*names, *out]}:
+            w = "_" + w
+        out.append(w)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Set here only where the session has none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -97,7 +108,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat DDL schema, without a session (usable in executors)."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds |= {f"array<{k}>": pa.list_(kinds[k]) for k in ("long", "int", "double")}
     return pa.schema([pa.field(n, kinds[k]) for n, k in (x.strip().split(" ") for x in ddl.split(","))])
 
 
@@ -111,7 +123,3 @@ def partition_number() -> int:
 
     at = TaskContext.get()
     return at.partitionId() if at else 0
-
-
-def empty_like(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(ddl))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import arrow_schema, id_text, map_batches, written
+from tidewell.llm.common import arrow_schema, batch_of, delete, id_text, map_batches, unused, written
 from tidewell.llm.components import components
 
 SEED = 42
@@ -113,25 +113,44 @@ def link(docs: DataFrame, size: int = 3, distance: int = 2, blocks: int = 5) ->
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- wide fingerprints: similarity well below what two bits of 64 can tell ---------------------------------------------
+# --- near copies: similarity well below what two bits of 64 can tell --------------------------------------------------
 
-#: 64-bit words of a wide fingerprint and bits of a block: 32 disjoint blocks. A pair of similarity 0.8 differs in 15 %
-#: of its bits and shares a block with probability 0.91; one of 0.9 with probability 0.998.
-WORDS, BLOCK_BYTES = 8, 2
+#: 64-bit words of a wide fingerprint.
+WORDS = 4
 #: Fixed odd factors that spread a shingle's hash to further words.
 SPREAD = np.array([1] + [0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(1, WORDS)], np.uint64)
-#: Fingerprints that are compared with each other at once; a larger group of a block is compared part against part.
-GROUP = 4096
-#: Fingerprints of a block that are compared together with those of other blocks.
+#: Least bits of a band, chance fingerprints of one (a power of 2), and share of pairs at the similarity that no band joins.
+BAND, CROWD, MISSED = 16, 3, 0.01
+#: Standard deviations by which a candidate may differ in more bits than its similarity expects.
+SLACK = 2.5
+#: Fingerprints of a band's group that one task compares, leaders of a larger group.
+GROUP, LEADERS = 1024, 8
+#: Size up to which all near pairs of a group are candidates; those of a larger group are the edges of a shortest tree.
 SMALL = 16
-#: Rows of the list of large groups, two numbers each, up to which it is broadcast.
-FEW = 20_000
+#: Hashes of a share of a set of shingles, about.
+SHARE = 4096
+#: Rows of a list of keys, a few numbers each, up to which it is broadcast.
+FEW = 200_000
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which shingle sets of that Jaccard similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
 def allowed(similarity: float, bits: int = 64 * WORDS) -> int:
-    """Differing bits up to which a pair counts as similar: what shingle sets of that Jaccard similarity expect, and one standard deviation."""
-    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * angle + (bits * angle * (1 - angle)) ** 0.5)
+    """Differing bits up to which a pair is a candidate."""
+    p = differing(similarity)
+    return int(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
+
+
+def bands_for(nodes: int, similarity: float) -> np.ndarray:
+    """The bits of each band, a row for each: wide enough for so many fingerprints, as many as the similarity needs."""
+    width = min(60, max(BAND, max(1, nodes).bit_length() - CROWD))
+    shared = (1 - differing(similarity)) ** width
+    count = int(np.ceil(np.log(MISSED) / np.log1p(-shared))) if shared < 1 else 1
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.permutation(64 * WORDS)[:width] for _ in range(count)])
 
 
 class _WordHashes(dict):
@@ -165,10 +184,11 @@ def word_shingles(text: str, size: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def wide(text: str, size: int) -> bytes:
+def wide(text: str, size: int) -> tuple[bytes, int]:
+    """A text's wide fingerprint, and how many distinct shingles it has."""
     h = word_shingles(text, size)
     if not len(h):
-        return bytes(8 * WORDS)
+        return bytes(8 * WORDS), 0
     total = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(h), 255):  # so many ones fit a byte
         x = h[at : at + 255, None] * SPREAD[None, :]
@@ -176,84 +196,63 @@ def wide(text: str, size: int) -> bytes:
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
         total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
-
-
-def spanning(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges of a forest that connects all rows within ``bits`` of each other, found by comparing all pairs in rows."""
-    tree, out = np.arange(len(fps)), []
-    for i in range(len(fps) - 1):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(1, dtype=np.int64) <= bits)
-        apart = near[tree[near] != tree[i]]
-        for other, k in zip(*np.unique(tree[apart], return_index=True)):
-            out.append((i, int(apart[k])))
-            tree[tree == other] = tree[i]
+    return np.packbits(2 * total > len(h), bitorder="little").tobytes(), len(h)
+
+
+def shortest_tree(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """The edges of a shortest spanning forest of the rows, by Hamming distance up to ``bits``, grown from row to row."""
+    n, out = len(fps), []
+    near, frm, left = np.full(n, 1 << 20), np.zeros(n, int), np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        d = np.bitwise_count(fps ^ fps[at]).sum(1, dtype=np.int64)
+        closer = left & (d < near)
+        near[closer], frm[closer] = d[closer], at
+        at = int(np.where(left, near, 1 << 21).argmin())
+        if near[at] <= bits:
+            out.append((int(frm[at]), at))
     return out
 
 
-def spanning_groups(group: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """``spanning`` of each run of equal ``group``: small runs are compared together, shift by shift, larger ones alone."""
+def group_pairs(group: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
+    """Candidate pairs of rows of each run of equal ``group``: all near ones of a small run, a shortest forest of a larger one."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
     sizes, out = np.diff(starts), []
     left = np.repeat(starts[1:], sizes) - np.arange(len(group)) - 1  # rows of the run that follow
     rows = np.flatnonzero(np.repeat(sizes, sizes) <= SMALL)
-    root: dict[int, int] = {}
-
-    def find(i):
-        while (up := root.get(i, i)) != i:
-            i = up
-        return i
-
     for shift in range(1, SMALL):
         rows = rows[left[rows] >= shift]
         if not len(rows):
             break
-        for i in rows[np.bitwise_count(fps[rows] ^ fps[rows + shift]).sum(1, dtype=np.int64) <= bits].tolist():
-            a, b = find(i), find(i + shift)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((i, i + shift))
+        near = rows[np.bitwise_count(fps[rows] ^ fps[rows + shift]).sum(1, dtype=np.int64) <= bits]
+        out.append(np.stack([near, near + shift], axis=1))
     for k in np.flatnonzero(sizes > SMALL).tolist():
         a = int(starts[k])
-        out += [(a + i, a + j) for i, j in spanning(fps[a : starts[k + 1]], bits)]
-    return out
+        out.append(a + np.array(shortest_tree(fps[a : starts[k + 1]], bits), np.int64).reshape(-1, 2))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def wide_links(nodes: DataFrame, bits: int) -> DataFrame:
-    """Edges ``u, v`` that connect all ``rep, fp`` nodes that share a block and differ in at most ``bits`` bits.
+LINK_DDL = "u long, v long"
 
-    Blocks of 16 bits bring fingerprints together; the tasks that hold a block verify Hamming distances and return
-    only the links of a spanning forest. A block of over ``GROUP`` fingerprints is dealt out by hash to parts of about
-    half that many, and each two parts are a group of their own, so every pair of the block meets in one: for ``p``
-    parts a fingerprint goes to ``p - 1`` groups.
-    """
-    count = 8 * WORDS // BLOCK_BYTES
-    key = lambda j: F.conv(F.hex(F.substring("fp", 1 + j * BLOCK_BYTES, BLOCK_BYTES)), 16, 10).cast("long") + (j << 8 * BLOCK_BYTES)
-    keyed = nodes.select("rep", "fp", F.explode(F.array(*[key(j) for j in range(count)])).alias("key"))
-    # the parts of large groups: counted first, on the keys alone
-    parts, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key", F.ceil(2 * F.col("n") / GROUP).alias("parts")), "parts")
-    if parts.count() <= FEW:
-        parts = F.broadcast(parts)
-    placed = keyed.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")))
-    pair = lambda o: F.least("part", o) + F.shiftleft(F.greatest("part", o), 20)
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != F.col("part"))
-    pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, pair))
-    dealt = placed.select("key", "rep", "fp", F.explode(pairs).alias("pair")).select((F.col("key") + F.shiftleft("pair", 21)).alias("g"), "rep", "fp")
-    link_ddl = "u long, v long"
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
 
-        def found(t):
-            fps = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
-            edges = np.array(spanning_groups(t.column(0).to_numpy(), fps, bits), np.int64).reshape(-1, 2)
-            reps = t.column(1).to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(reps[edges[:, 0]]), pa.array(reps[edges[:, 1]])], schema=arrow_schema(link_ddl))
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def _links(bits: int):
+    """Over rows ``g, rep, fp`` in order of ``g``: the candidate pairs of each group."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        pairs = t.column(1).to_numpy()[group_pairs(t.column(0).to_numpy(), _words(t.column(2)), bits)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], schema=arrow_schema(LINK_DDL))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 4 * GROUP:
+            if rows >= 16 * GROUP:
                 t = pa.Table.from_batches(held).combine_chunks()
                 g = t.column(0).to_numpy()
                 whole = int(np.searchsorted(g, g[-1]))  # the last run may go on
@@ -263,41 +262,179 @@ def wide_links(nodes: DataFrame, bits: int) -> DataFrame:
         if rows:
             yield found(pa.Table.from_batches(held))
 
-    spread = dealt.repartition("g").sortWithinPartitions("g")
-    return map_batches(spread, links, link_ddl).distinct()
+    return run
+
+
+def _with(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """A join with a list that is broadcast only if it has no more than ``FEW`` rows."""
+    return rows.join(F.broadcast(few) if few.count() <= FEW else few, key, how)
+
+
+def _led(rows: DataFrame, sizes: DataFrame, bits: int) -> DataFrame:
+    """``key, rep, fp, v`` of the rows of crowded groups: ``v`` is the nearest leader within ``bits``, or null.
+
+    Each group has ``LEADERS`` members as leaders, the least by as many hashes; groups that have most members in common so
+    have most leaders in common, and a member's links are few. Its rows and copies of its leaders are dealt to as many
+    parts as keep a part within ``GROUP`` rows.
+    """
+    parts = F.ceil(F.col("n") / GROUP).cast("long")
+    crowd = _with(rows, sizes, "key", "inner").withColumn("part", F.pmod(F.xxhash64("rep"), parts))
+    draw = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "fp")).alias(f"l{k}") for k in range(LEADERS)]
+    leaders = crowd.groupBy("key", "n").agg(*draw).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    leaders = leaders.select("key", "part", F.array(*[F.col(f"l{k}.rep") for k in range(LEADERS)]).alias("reps"), F.array(*[F.col(f"l{k}.fp") for k in range(LEADERS)]).alias("fps"))
+    ddl = "key long, rep long, fp binary, v long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own, lead = _words(b.column(2)), _words(b.column(4).flatten()).reshape(b.num_rows, LEADERS, WORDS)
+                d = np.bitwise_count(own[:, None, :] ^ lead).sum(2, dtype=np.int64)
+                best = d.argmin(1)
+                at = np.arange(b.num_rows)
+                v = b.column(3).flatten().to_numpy().reshape(-1, LEADERS)[at, best]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(v, pa.int64(), mask=d[at, best] > bits)], schema=arrow_schema(ddl))
+
+    joined = crowd.join(leaders, ["key", "part"]).select("key", "rep", "fp", "reps", "fps")
+    return map_batches(joined, run, ddl)
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``u < v`` of ``rep, fp`` nodes that are likely to have the similarity, and connect those that have it.
+
+    Fingerprints meet where they agree on all bits of a band; the task that holds a group returns its near pairs, or the
+    edges of a shortest forest. In a crowded group (copies of one text with small changes are in one in every band) each
+    member links to its nearest leader; those that are near none are compared with each other, part against part, so
+    that no task holds more than ``GROUP`` of them. What one band's leaders leave apart another's may join: a band's
+    groups, and so its leaders, differ from another's.
+    """
+    bits, bands = allowed(similarity), bands_for(nodes.count(), similarity)
+    ddl = "rep long, fp binary, keys array<long>"
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = 1 << np.arange(bands.shape[1], dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = np.unpackbits(_words(b.column(1)).view(np.uint8), axis=1, bitorder="little")
+                # a band's values take the place above its number
+                value = np.stack([(x[:, band] @ power) * len(bands) + k for k, band in enumerate(bands)], axis=1)
+                every = pa.ListArray.from_arrays(pa.array(np.arange(0, value.size + 1, len(bands)), pa.int32()), pa.array(value.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), every], schema=arrow_schema(ddl))
+
+    keyed, keyed_at = written(map_batches(nodes.select("rep", "fp"), keys, ddl), "bands")
+    keyed = keyed.select("rep", "fp", F.explode("keys").alias("key"))
+    sizes, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "crowds")
+    usual = _with(keyed, sizes.select("key"), "key", "left_anti").select(F.col("key").alias("g"), "rep", "fp")
+    found = map_batches(usual.repartition("g").sortWithinPartitions("g"), _links(bits), LINK_DDL)
+    if not sizes.isEmpty():
+        led, _ = written(_led(keyed, sizes, bits), "led")
+        found = found.union(led.where("v <> rep").select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")))
+        rest = led.where("v is null").select("key", "rep", "fp")
+        counts = rest.groupBy("key").agg(F.count("*").alias("n")).select("key", F.when(F.col("n") > GROUP, F.ceil(2 * F.col("n") / GROUP)).otherwise(1).cast("long").alias("parts"))
+        placed = rest.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != F.col("part"))
+        pair = lambda o: F.concat_ws(" ", F.col("key"), F.least("part", o), F.greatest("part", o))
+        pairs = F.when(F.col("parts") == 1, F.array(F.concat_ws(" ", F.col("key")))).otherwise(F.transform(others, pair))
+        dealt = placed.select(F.explode(pairs).alias("g"), "rep", "fp").withColumn("g", F.xxhash64("g"))
+        found = found.union(map_batches(dealt.repartition("g").sortWithinPartitions("g"), _links(bits), LINK_DDL))
+    out, _ = written(found.where("u <> v").distinct(), "candidates")
+    delete(nodes.sparkSession, keyed_at)
+    return out
+
+
+def share_bits(n: int, share: int) -> int:
+    """Bits that cut a set of ``n`` hashes to shares of about ``share`` at most."""
+    return max(0, (n - 1) // share).bit_length()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float, share: int = SHARE) -> DataFrame:
+    """Those of the pairs ``u, v`` whose texts' sets of shingles have at least that Jaccard similarity.
+
+    ``pairs`` has the sizes ``nu, nv`` of the sets and ``texts`` has ``rep, text``, one row for each. Sets are of 64-bit
+    hashes. Sizes rule out pairs before a set is made; the sets of the others are cut by ranges of the hash to shares of
+    about ``share``, counted share by share and added up, so that no row grows with a text.
+    """
+    most, least = F.greatest("nu", "nv"), F.least("nu", "nv")
+    near = pairs.where(least >= similarity * most)
+    bits = F.when(most <= share, 0).otherwise(F.length(F.bin(F.floor((most - 1) / share)))).cast("int")
+    asked = near.withColumn("p", bits).withColumn("k", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, p) - 1"))))
+    ddl = "rep long, p int, k int, shingles binary"
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: dict[str, list] = {f.name: [] for f in arrow_schema(ddl)}
+        held = 0
+        for b in batches:
+            for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = word_shingles(text, size)
+                # a set as large as one that this one can still be similar to is cut as finely
+                for p in range(share_bits(len(h), share), share_bits(int(len(h) / similarity) + 1, share) + 1):
+                    ends = np.searchsorted(h, np.arange(1, 1 << p, dtype=np.uint64) << np.uint64(64 - p)) if p else []
+                    for k, part in enumerate(np.split(h, ends)):
+                        if len(part):
+                            for name, v in (("rep", rep), ("p", p), ("k", k), ("shingles", part.tobytes())):
+                                cols[name].append(v)
+                            held += len(part)
+                if held >= 1 << 18:
+                    yield batch_of(cols, ddl)
+                    cols, held = {n: [] for n in cols}, 0
+        if held:
+            yield batch_of(cols, ddl)
+
+    counted_ddl = "u long, v long, nu long, nv long, both long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = []
+            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
+                z = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                z.sort(kind="stable")
+                both.append(int((z[1:] == z[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)] + [pa.array(both, pa.int64())], schema=arrow_schema(counted_ddl))
+
+    held, _ = written(map_batches(texts.select("rep", "text"), sets, ddl), "shingles")
+    one = asked.join(held.withColumnsRenamed({"rep": "u", "shingles": "su"}), ["u", "p", "k"])
+    two = one.join(held.withColumnsRenamed({"rep": "v", "shingles": "sv"}), ["v", "p", "k"])
+    shares = map_batches(two.select("u", "v", "nu", "nv", "su", "sv"), count, counted_ddl)
+    total = shares.groupBy("u", "v", "nu", "nv").agg(F.sum("both").alias("both"))
+    return total.where(F.col("both") >= similarity * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v")
 
 
 def wide_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, mark, rep, root``: of every row, the hash of its text, its fingerprint's node and the root of its group.
 
-    Fingerprints are written once.
+    Texts of one wide fingerprint are one node, for which its first text speaks. Candidate pairs of nodes are linked if
+    their sets of ``size``-word shingles have at least the Jaccard similarity. Fingerprints are written once, and the
+    sets of those texts alone that are in a candidate pair.
     """
-    bits = allowed(similarity)
-    ddl = "doc_id long, mark long, rep long, fp binary"
+    ddl = "doc_id long, mark long, rep long, n long, fp binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            fps = [wide(t, size) for t in texts]
-            reps = [signed_hash(f) for f in fps]
-            marks = [signed_hash(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(reps, pa.int64()), pa.array(fps, pa.binary())], schema=arrow_schema(ddl))
+            fps, sizes = zip(*[wide(t, size) for t in texts]) if texts else ((), ())
+            cols = [signed_hash(t.encode("utf-8", "surrogatepass")) for t in texts], [signed_hash(f) for f in fps], sizes
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols], pa.array(fps, pa.binary())], schema=arrow_schema(ddl))
 
     marked, _ = written(map_batches(id_text(docs), run, ddl), "wide")
-    nodes = marked.groupBy("rep").agg(F.min("fp").alias("fp"))
-    edges = wide_links(nodes, bits)
-    roots = components(edges).withColumnRenamed("node", "rep")
+    pairs = candidates(marked.groupBy("rep").agg(F.min("fp").alias("fp")), similarity)
+    far = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    first = marked.groupBy("rep").agg(F.min(F.struct(far.alias("_id"), F.col("mark").alias("_mark"), "n")).alias("f")).select("rep", "f.*")
+    asked, _ = written(first.join(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep"), "asked")
+    few = (lambda x: F.broadcast(x)) if asked.count() <= FEW else (lambda x: x)
+    named = id_text(docs).select(far.alias("_id"), F.xxhash64("text").alias("_mark"), "text")
+    texts = named.join(few(asked), ["_id", "_mark"]).dropDuplicates(["rep"])
+    sized = pairs.join(few(asked.select(F.col("rep").alias("u"), F.col("n").alias("nu"))), "u").join(few(asked.select(F.col("rep").alias("v"), F.col("n").alias("nv"))), "v")
+    roots = components(similar(sized, texts, size, similarity)).withColumnRenamed("node", "rep")
     return marked.select("doc_id", "mark", "rep").join(roots, "rep", "left").select("doc_id", "mark", "rep", F.coalesce("root", "rep").alias("root"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each group of near-duplicates the row of smallest id (then of least text hash), with all columns of ``docs``.
 
-    Null ids come last in a group. Rows that repeat a kept row in id and text go as well.
+    Null ids come last in a group. Rows that repeat a kept row in id and text go as well. Columns may have any names.
     """
     groups = wide_groups(docs, size, similarity)
-    far = F.lit((1 << 63) - 1)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", far).alias("_id"), F.col("mark").alias("_mark"))).alias("k")).select("k.*").distinct()
-    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), far), "_mark": mark})
-    return keyed.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).drop("_id", "_mark")
+    far, (i, m) = F.lit((1 << 63) - 1), unused(docs.columns, "id", "mark")
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", far).alias(i), F.col("mark").alias(m))).alias("k")).select("k.*").distinct()
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    keyed = docs.withColumns({i: F.coalesce(docs["doc_id"].cast("long"), far), m: mark})
+    return keyed.join(kept, [i, m], "left_semi").dropDuplicates([i, m]).drop(i, m)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import arrow_schema, map_batches
+from tidewell.llm.common import map_batches
 
 UNKNOWN = "und"
 TABLE = 1 << 16
@@ -152,23 +152,21 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
     return fit_rows(*sample_rows(labelled, per_language), landmarks)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``score``; ``text`` is what is scored."""
-    kept = docs if keep is None else docs.select(*keep)
-    cols = [c for c in kept.columns if c not in ("lang_pred", "score")]
-    carried = list(dict.fromkeys([*cols, "text"]))
-    inner = docs.select(F.struct(*[F.col(c) if c != "text" else F.col(c).cast("string").alias(c) for c in carried]).alias("row"))
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the prediction for ``text`` and its score, in two further columns of the given names."""
+    cols = docs.columns
+    inner = docs.select(F.struct(*[docs[c].cast("string").alias(c) if c == "text" else docs[c] for c in cols]).alias("row"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in inner.schema["row"].dataType.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0)
-            langs, scores = held.value.predict(rows.field(carried.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([rows, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+            langs, scores = held.value.predict(rows.field(cols.index("text")).to_pylist())
+            yield pa.RecordBatch.from_arrays([rows, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", *names])
 
-    out = map_batches(inner, run, f"row struct<{fields}>, lang_pred string, score double")
-    return out.select(*[F.col(f"row.`{c}`") for c in cols], "lang_pred", "score")
+    out = map_batches(inner, run, f"row struct<{fields}>, `{names[0]}` string, `{names[1]}` double")
+    return out.select(*[F.col(f"row.`{c}`") for c in cols], *names)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -176,4 +174,4 @@ def identify(docs: DataFrame) -> DataFrame:
     rest = F.crc32(F.col("doc_id").cast("string")) % 3
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", F.coalesce(rest == 1, F.lit(False)).alias("held_out"))
     model = fit(rows.where(~F.col("held_out")))
-    return predict(rows.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
+    return predict(rows.select("doc_id", "held_out", "text"), model).drop("text")

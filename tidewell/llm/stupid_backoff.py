@@ -30,7 +30,7 @@ from tidewell.llm.common import arrow_schema, batch_of, id_text, map_batches, pa
 
 ALPHA = 0.4
 #: Words of a block and n-grams of a bucket, about: bounds of a worker's memory.
-BLOCK, BUCKET = 400_000, 2_000_000
+BLOCK, BUCKET = 600_000, 2_000_000
 SEED = 42
 #: Words whose hashes a worker remembers.
 WORD_MEMO = 200_000
@@ -38,17 +38,29 @@ WORD_MEMO = 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bits of a hash beyond those that number all n-grams of the corpus: about 2^-SPARE of the n-grams share a hash.
+SPARE = 20
+
+
+def bits_for(total: int, order: int) -> int:
+    return max(32, min(64, (max(1, total) * order).bit_length() + SPARE))
+
+
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 class _Hashes(dict):
-    """Hashes of words by word, emptied when it holds as many as ``WORD_MEMO``."""
+    """Hashes of words by word, of so many bits, emptied when it holds as many as ``WORD_MEMO``."""
+
+    def __init__(self, bits: int):
+        super().__init__()
+        self.cut = 64 - bits
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_MEMO:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED) >> self.cut
         return h
 
 
@@ -73,22 +85,25 @@ def _keys_opened(raw: bytes) -> np.ndarray:
     return np.cumsum(_opened(raw), dtype=np.uint64)
 
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Places in order of falling count."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
 BLOCK_DDL = "block long, n long, doc_ids binary, nulls binary, lengths binary, words binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, block = _Hashes(), partition_number() << 32
+def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    hashes, block = _Hashes(bits), partition_number() << 32
     ids, rows, held = [], [], 0
 
     def close():
         raw = np.array([i or 0 for i in ids], "<i8")
-        # the words of a block repeat: its distinct hashes, the most frequent first, and the place of each word among them
+        # the words of a block repeat: its distinct hashes in order with their counts, and of each word its rank by count
         every, of, counts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        by = np.argsort(-counts, kind="stable")
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        known = _keys_packed(every[by])
-        packed = len(known).to_bytes(8, "little") + known + _packed(place[of])
+        rank = np.empty(len(every), np.int64)
+        rank[_by_count(counts)] = np.arange(len(every))
+        packed = b"".join(len(x).to_bytes(8, "little") + x for x in (_keys_packed(every), _packed(counts), _packed(rank[of])))
         return batch_of({"block": [block], "n": [held], "doc_ids": [raw.tobytes()], "nulls": [bytes(i is None for i in ids)], "lengths": [np.array([len(r) for r in rows], "<u4").tobytes()], "words": [packed]}, BLOCK_DDL)
 
     for batch in batches:
@@ -106,8 +121,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block(lengths: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a block's words, and the number of words of each document."""
-    cut = 8 + int.from_bytes(packed[:8], "little")
-    return _keys_opened(packed[8:cut])[_opened(packed[cut:])], np.frombuffer(lengths, "<u4").astype(np.int64)
+    parts, at = [], 0
+    while at < len(packed):
+        cut = at + 8 + int.from_bytes(packed[at : at + 8], "little")
+        parts.append(packed[at + 8 : cut])
+        at = cut
+    every, counts, rank = _keys_opened(parts[0]), _opened(parts[1]), _opened(parts[2])
+    return every[_by_count(counts)][rank], np.frombuffer(lengths, "<u4").astype(np.int64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -116,15 +136,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(hashes: np.ndarray, within: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The keys of the n-grams of 1 to ``order`` words in a row, and for each n the places where ``n`` words of a document end."""
+def grams(hashes: np.ndarray, within: np.ndarray, order: int, bits: int = 64) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The keys, of so many bits, of the n-grams of 1 to ``order`` words in a row, and for each n the places where ``n`` words of a document end."""
     out, places, key = [], [], hashes
     for n in range(1, order + 1):
         if n > 1:
             key = np.concatenate([hashes[:1], key[:-1] * STEP + hashes[1:]])
         places.append(np.flatnonzero(within >= n - 1))
         out.append(mixed(key[places[-1]] + np.uint64(n)))
-    return np.concatenate(out), places
+    return np.concatenate(out) >> np.uint64(64 - bits), places
 
 
 def within_documents(lengths: np.ndarray) -> np.ndarray:
@@ -135,15 +155,15 @@ ASK_DDL = "bucket long, block long, keys binary, counts binary"
 ANSWER_DDL = "bucket long, block long, counts binary"
 
 
-def _ask(order: int, buckets: int):
+def _ask(order: int, buckets: int, bits: int):
     """A block's distinct n-grams and their counts, a row for each range of keys."""
-    bars = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    bars = np.array([(k << bits) // buckets for k in range(1, buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lengths, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes, size = _block(lengths, packed)
-                keys, counts = np.unique(grams(hashes, within_documents(size), order)[0], return_counts=True)
+                keys, counts = np.unique(grams(hashes, within_documents(size), order, bits)[0], return_counts=True)
                 cuts = [0, *np.searchsorted(keys, bars).tolist(), len(keys)]
                 asked = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
                 for at in range(0, len(asked), 256):
@@ -180,13 +200,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCORE_DDL = "doc_id long, n_words long, score double"
 
 
-def _score(total: int, order: int, least: int):
+def _score(total: int, order: int, least: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_ids, nulls, lengths, packed, answers in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes, size = _block(lengths, packed)
                 within = within_documents(size)
-                keys, places = grams(hashes, within, order)
+                keys, places = grams(hashes, within, order, bits)
                 # buckets are ranges of keys, so their answers in a row are in order of the block's keys
                 told = [_opened(a["counts"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
                 counts = np.concatenate(told).astype(np.float64)[np.unique(keys, return_inverse=True)[1]] if told else np.zeros(0)
@@ -227,12 +247,14 @@ def scores(docs: DataFrame, order: int = 2, least: int = 2) -> DataFrame:
     """``doc_id, n_words, score`` of every row: the sum of its words' log scores."""
     if not 2 <= order <= 4:
         raise ValueError("order is 2 to 4")
-    blocks, _ = written(map_batches(id_text(docs), _blocks, BLOCK_DDL), "blocks")
+    texts = id_text(docs)
+    most = texts.agg(F.sum((F.length("text") + 1) / 2)).first()[0] or 0  # words that there can be
+    blocks, _ = written(map_batches(texts, lambda batches, bits=bits_for(int(most), 1): _blocks(batches, bits), BLOCK_DDL), "blocks")
     total = blocks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total * order // BUCKET))
-    asked = map_batches(blocks.select("block", "lengths", "words"), _ask(order, buckets), ASK_DDL)
+    buckets, bits = max(1, -(-total * order // BUCKET)), bits_for(total, order)
+    asked = map_batches(blocks.select("block", "lengths", "words"), _ask(order, buckets, bits), ASK_DDL)
     dealt = asked.repartition("bucket").sortWithinPartitions("bucket", "block")
     told = map_batches(dealt, _answer, ANSWER_DDL)
     by_block = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     joined = blocks.join(by_block, "block", "left").select("doc_ids", "nulls", "lengths", "words", "answers")
-    return map_batches(joined, _score(total, order, least), SCORE_DDL)
+    return map_batches(joined, _score(total, order, least, bits), SCORE_DDL)

@@ -31,8 +31,8 @@ TABLE = 1 << 16
 #: The bounds of the fit: texts and landmarks of each language, and languages.
 PER_LANGUAGE, LANDMARKS, LANGUAGES = 400, 48, 500
 RIDGE = 1e-2
-#: Share of held-out labelled texts below the bar of ``least_score``.
-REJECTED = 0.005
+#: Share of held-out labelled texts that may be less like the learned languages than twice the bar of ``least_near``.
+UNLIKE = 0.001
 #: Texts scored in one product.
 ROWS = 64
 
@@ -78,19 +78,22 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # a row for each place of the table, a column for each language
+    weights: np.ndarray  # a row for each place of the table, a column for each language, and one more for each: its landmarks' mean
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Languages, scores, and how near a text is to the nearest language: the mean kernel with its landmarks."""
+        langs, scores, near = [], [], []
+        n = len(self.languages)
         for at in range(0, len(texts), ROWS):
             x, some = presence(texts[at : at + ROWS])
             y = x @ self.weights / np.sqrt(np.maximum(x.sum(1), 1))[:, None] if self.languages else np.zeros((len(x), 1))
-            best = y.argmax(1)
+            best = y[:, : max(1, n)].argmax(1)
+            near += (y[:, n:].max(1) * some).tolist() if n else [0.0] * len(x)
             for k in range(len(x)):
                 known = bool(some[k]) and bool(self.languages)
                 langs.append(self.languages[best[k]] if known else UNKNOWN)
                 scores.append(float(np.clip((1 + y[k, best[k]]) / 2, 0, 1)) if known else 0.0)
-        return langs, scores
+        return langs, scores, near
 
 
 def fit_rows(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -100,7 +103,8 @@ def fit_rows(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, rid
     names = sorted({y for _, y in kept})
     if not names:
         return Model([], np.zeros((TABLE, 1), np.float32))
-    marks = [at for name in names for at in [x for x, y in kept if y == name][:landmarks]]
+    own_marks = {name: [x for x, y in kept if y == name][:landmarks] for name in names}
+    marks = [at for name in names for at in own_marks[name]]
     z = np.zeros((TABLE, len(marks)), np.float32)
     for k, at in enumerate(marks):
         z[at, k] = 1 / np.sqrt(len(at))
@@ -111,21 +115,22 @@ def fit_rows(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, rid
     x = np.array([to_marks(at) for at, _ in kept]) @ whiten
     y = np.where(np.array([k for _, k in kept])[:, None] == np.array(names)[None], 1.0, -1.0)
     beta = np.linalg.solve(x.T @ x + ridge * len(x) * np.eye(len(marks)), x.T @ y)
-    return Model(names, (z.astype(np.float64) @ (whiten @ beta)).astype(np.float32))
+    of = np.repeat(np.arange(len(names)), [len(own_marks[name]) for name in names])
+    means = np.stack([z[:, of == k].mean(1) for k in range(len(names))], axis=1)
+    return Model(names, np.concatenate([(z.astype(np.float64) @ (whiten @ beta)).astype(np.float32), means], axis=1))
 
 
-def least_score(texts: list[str], langs: list[str]) -> float:
-    """A bar for scores, from labelled texts in random order: all but ``REJECTED`` of the held-out ones reach it.
+def least_near(texts: list[str], langs: list[str], folds: int = 5) -> float:
+    """A bar for nearness, from labelled texts in random order: half of what all but ``UNLIKE`` of them reach when held out.
 
-    Every fifth text is held out and scored by the model of the others. A text unlike all landmarks has outputs near
-    zero, so a score near one half: the bar is no lower than that.
+    Texts of a script that was not learned share hardly more than spaces with any landmark and lie far below it.
     """
-    held = [t for t in texts[::5] if places(t) is not None]
-    rest = [k for k in range(len(texts)) if k % 5]
-    model = fit_rows([texts[k] for k in rest], [langs[k] for k in rest])
-    if not held or not model.languages:
-        return 0.5
-    return max(0.5, float(np.quantile(model.predict(held)[1], REJECTED)))
+    found: list[float] = []
+    for k in range(folds):
+        rest = [i for i in range(len(texts)) if i % folds != k]
+        model = fit_rows([texts[i] for i in rest], [langs[i] for i in rest])
+        found += model.predict([t for t in texts[k::folds] if places(t) is not None])[2]
+    return float(np.quantile(found, UNLIKE)) / 2 if found else 0.0
 
 
 def sample_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
@@ -152,8 +157,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
     return fit_rows(*sample_rows(labelled, per_language), landmarks)
 
 
-def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the prediction for ``text`` and its score, in two further columns of the given names."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the prediction for ``text``, its score and, if a third name is given, its nearness, in further columns."""
     cols = docs.columns
     inner = docs.select(F.struct(*[docs[c].cast("string").alias(c) if c == "text" else docs[c] for c in cols]).alias("row"))
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -162,10 +167,12 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0)
-            langs, scores = held.value.predict(rows.field(cols.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([rows, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", *names])
+            langs, *figures = held.value.predict(rows.field(cols.index("text")).to_pylist())
+            told = [pa.array(langs, pa.string()), *[pa.array(f, pa.float64()) for f in figures]][: len(names)]
+            yield pa.RecordBatch.from_arrays([rows, *told], names=["row", *names])
 
-    out = map_batches(inner, run, f"row struct<{fields}>, `{names[0]}` string, `{names[1]}` double")
+    kinds = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double")))
+    out = map_batches(inner, run, f"row struct<{fields}>, {kinds}")
     return out.select(*[F.col(f"row.`{c}`") for c in cols], *names)
 
 

@@ -49,3 +49,22 @@ def overlay(source: DataFrame, revision: DataFrame, keys: list[str], columns: li
     """``source`` with the columns that ``revision`` sets."""
     new = revision.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
     return source.join(new, keys, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in source.columns])
+
+
+def match_five_tuples(flows: DataFrame, events: DataFrame) -> DataFrame:
+    """``flow_id, events, first_event, rule`` of the flows that meet an event in time, addresses, ports and protocol, either way.
+
+    Ports and protocol of an event that are null fit any. Only addresses and the day are joined on, so wildcards cause no
+    nested loop; a flow is found under the day it starts, an event under each day that it touches.
+    """
+    days = F.explode(F.sequence(F.floor(F.col("a") / DAY), F.floor(F.col("b") / DAY)))
+    side = lambda s, t, sp, dp, back: events.select("event_id", F.col("a").alias("e_a"), F.col("b").alias("e_b"), F.col(s).alias("s"), F.col(t).alias("t"), F.col(sp).alias("sp"), F.col(dp).alias("dp"), F.col("proto").alias("e_proto"), F.lit(back).alias("back"), days.alias("day"))
+    both = side("src", "dst", "sport", "dport", 0).union(side("dst", "src", "dport", "sport", 1))
+    f = flows.withColumn("day", F.floor(F.col("start_ms") / DAY))
+    fits = lambda a, b: F.col(a).isNull() | (F.col(a) == F.col(b))
+    on = (f.day == both.day) & (F.col("src") == F.col("s")) & (F.col("dst") == F.col("t")) & (F.col("e_a") <= F.col("end_ms")) & (F.col("e_b") >= F.col("start_ms"))
+    on = on & fits("e_proto", "proto") & fits("sp", "sport") & fits("dp", "dport")
+    exact = F.col("sp").isNotNull() & F.col("dp").isNotNull()
+    hits = f.join(both, on).groupBy("flow_id", "event_id").agg(F.min("back").alias("back"), F.bool_and(exact).alias("exact"))
+    rule = F.when(F.count("*") > 1, "ambiguous").when(F.min("back") == 1, "reverse_direction_time").when(F.bool_and("exact"), "exact_5tuple_time").otherwise("wildcard_port_time")
+    return hits.groupBy("flow_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"), rule.alias("rule"))

@@ -289,3 +289,16 @@ def s7(spark, sf_dir):
     fields = C.decoded(captures)
     numbered = fields.withColumn("frame_number", F.col("path"))
     return S.packets(numbered).select(F.col("frame").alias("flow_id"), "length", "src", "dst", "l4", "sport", "dport", "flags")
+
+
+@query("src_s16_contract", f"select sum(bytes)::bigint as bytes, sum(packets)::bigint as packets from {FLOWS_SQL} f")
+def s16(spark, sf_dir):
+    """A contract names the columns, their types and roles; the features are those whose role says so."""
+    from tidewell.sources import contracts as Y
+
+    kinds = {"flow_id": "identity", "start_ms": "time", "end_ms": "time", "src": "identity", "dst": "identity", "dport": "context", "bytes": "model_feature", "packets": "model_feature", "label": "label"}
+    rows = flows(spark, sf_dir)
+    schema = Y.schema_of({"fields": [{"name": n, "dtype": t, "role": kinds[n]} for n, t in rows.dtypes]})
+    Y.check_schema(rows.schema, schema)
+    chosen = V.features(rows, Y.roles_of(schema))
+    return chosen.agg(*[F.sum(c).cast("long").alias(c) for c in chosen.columns])

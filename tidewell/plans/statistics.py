@@ -271,3 +271,13 @@ def x11(spark, sf_dir):
     doc = flows(spark, sf_dir).where("src < 50").groupBy("src").agg(F.to_json(F.struct(F.col("src").alias("class"), inner.alias("failures"))).alias("value"))
     v = doc.select(F.from_json("value", "class long, failures array<struct<stage: long, weight: long>>").alias("v"))
     return v.select("v.class", F.explode("v.failures").alias("f")).groupBy("class", "f.stage").agg(F.count("*").alias("n"), F.sum("f.weight").alias("weight"))
+
+
+@query("evl_e13_forest")
+def e13(spark, sf_dir):
+    """No SQL: a fitted forest. Learned from two thirds of the rows, counted on the others by class."""
+    from tidewell.operators import models
+
+    rows, features = flows(spark, sf_dir).withColumn("kind", F.when(F.col("bytes") > 600, "large").otherwise("small")), ["packets", "dport", "bytes"]
+    told = models.classify(models.fit_forest(rows.where("flow_id % 3 <> 0"), features, "kind", 10, 4), rows.where("flow_id % 3 = 0"), features)
+    return told.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == F.col("predicted")).alias("right"))

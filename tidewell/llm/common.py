@@ -79,13 +79,33 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Of each ``settled`` call that is under way, the tables written within it.
+_within: list[list[str]] = []
+
+
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder and its path: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
+    if _within:
+        _within[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def settled(spark: SparkSession, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build()`` returns, as a table in the shared folder; the tables that it wrote on the way are deleted."""
+    _within.append([])
+    try:
+        df, path = build(), scratch(spark, what)
+        df.write.parquet(path)
+    finally:
+        for at in _within.pop():
+            delete(spark, at)
+    if _within:
+        _within[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def give_back() -> None:
     """Return a worker's freed memory to the system: workers outlive their tasks and stages."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import arrow_schema, batch_of, delete, map_batches, written
+from tidewell.llm.common import arrow_schema, batch_of, delete, map_batches, settled, written
 
 TOP = 20
 #: Values of a block's vectors at most, nodes of a starting cell, and sampled values that fit the planes.
@@ -679,9 +679,7 @@ def greedy(held: DataFrame, state: DataFrame, spread: int, hops: int = HOPS) ->
         spark.sparkContext._jvm.System.gc()
     named = _step(_named, spread, ids.withColumn("kind", F.lit(0)), _step(_tops, spread, pools))
     asking = ids.withColumn("kind", F.lit(0)).join(pools.select("block"), "block", "left_semi")
-    found, _ = written(_step(_answers, spread, asking, named, ddl=FOUND), "nn-found")
-    delete(spark, path)
-    return found
+    return _step(_answers, spread, asking, named, ddl=FOUND)
 
 
 def search(vectors: DataFrame, every: int = 20, values: int = VALUES, cell: int = CELL, rounds: int = ROUNDS, hops: int = HOPS) -> DataFrame:
@@ -690,11 +688,15 @@ def search(vectors: DataFrame, every: int = 20, values: int = VALUES, cell: int
     ``values`` bounds the components that a block holds; the other parameters are those named above.
     """
     spark: SparkSession = vectors.sparkSession
-    nodes, nodes_at = written(nodes_of(vectors, every), "nn-nodes")
-    held, forest, n, spread = lay_out(nodes, values)
-    if not n:
+    nodes, _ = written(nodes_of(vectors, every), "nn-nodes")
+    if nodes.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = greedy(held, build(held, forest, n, spread, cell, rounds), spread, hops)
+
+    def answers() -> DataFrame:
+        held, forest, n, spread = lay_out(nodes, values)
+        return greedy(held, build(held, forest, n, spread, cell, rounds), spread, hops)
+
+    found = settled(spark, "nn-answers", answers)
     out = ["query_id", "rank", "vec_id", "score"]
     plain = found.where((F.col("query_id") % every) == 0).select(*out)
     # the queries of very common vectors: light rows, dealt to as many parts as there are salts

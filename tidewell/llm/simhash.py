@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import arrow_schema, batch_of, delete, id_text, map_batches, unused, written
+from tidewell.llm.common import arrow_schema, batch_of, id_text, map_batches, settled, unused, written
 from tidewell.llm.components import components
 
 SEED = 42
@@ -105,6 +105,10 @@ def near_pairs(fps: DataFrame, distance: int = 2, blocks: int = 5, pairs: int =
 
 def link(docs: DataFrame, size: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest id reachable through near fingerprints."""
+    return settled(docs.sparkSession, "linked", lambda: _link(docs, size, distance, blocks))
+
+
+def _link(docs: DataFrame, size: int, distance: int, blocks: int) -> DataFrame:
     marked, _ = written(fingerprints(docs, size), "fingerprints")  # texts are read and hashed once
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_pairs(distinct, distance, blocks))
@@ -307,6 +311,10 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     that no task holds more than ``GROUP`` of them. What one band's leaders leave apart another's may join: a band's
     groups, and so its leaders, differ from another's.
     """
+    return settled(nodes.sparkSession, "candidates", lambda: _candidates(nodes, similarity))
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     bits, bands = allowed(similarity), bands_for(nodes.count(), similarity)
     ddl = "rep long, fp binary, keys array<long>"
 
@@ -320,7 +328,7 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
                 every = pa.ListArray.from_arrays(pa.array(np.arange(0, value.size + 1, len(bands)), pa.int32()), pa.array(value.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), every], schema=arrow_schema(ddl))
 
-    keyed, keyed_at = written(map_batches(nodes.select("rep", "fp"), keys, ddl), "bands")
+    keyed, _ = written(map_batches(nodes.select("rep", "fp"), keys, ddl), "bands")
     keyed = keyed.select("rep", "fp", F.explode("keys").alias("key"))
     sizes, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "crowds")
     usual = _with(keyed, sizes.select("key"), "key", "left_anti").select(F.col("key").alias("g"), "rep", "fp")
@@ -336,9 +344,7 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         pairs = F.when(F.col("parts") == 1, F.array(F.concat_ws(" ", F.col("key")))).otherwise(F.transform(others, pair))
         dealt = placed.select(F.explode(pairs).alias("g"), "rep", "fp").withColumn("g", F.xxhash64("g"))
         found = found.union(map_batches(dealt.repartition("g").sortWithinPartitions("g"), _links(bits), LINK_DDL))
-    out, _ = written(found.where("u <> v").distinct(), "candidates")
-    delete(nodes.sparkSession, keyed_at)
-    return out
+    return found.where("u <> v").distinct()
 
 
 def share_bits(n: int, share: int) -> int:
@@ -405,6 +411,10 @@ def wide_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     their sets of ``size``-word shingles have at least the Jaccard similarity. Fingerprints are written once, and the
     sets of those texts alone that are in a candidate pair.
     """
+    return settled(docs.sparkSession, "groups", lambda: _wide_groups(docs, size, similarity))
+
+
+def _wide_groups(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     ddl = "doc_id long, mark long, rep long, n long, fp binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

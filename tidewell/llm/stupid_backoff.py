@@ -30,7 +30,7 @@ from tidewell.llm.common import arrow_schema, batch_of, id_text, map_batches, pa
 
 ALPHA = 0.4
 #: Words of a block and n-grams of a bucket, about: bounds of a worker's memory.
-BLOCK, BUCKET = 600_000, 2_000_000
+BLOCK, BUCKET = 800_000, 2_000_000
 SEED = 42
 #: Words whose hashes a worker remembers.
 WORD_MEMO = 200_000

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import arrow_schema, batch_of, id_text, map_batches, written
+from tidewell.llm.common import arrow_schema, batch_of, id_text, map_batches, settled, written
 from tidewell.llm.simhash import signed_hash
 
 MATCH, GRAM = 200, 51
@@ -282,6 +282,10 @@ def salted_join(rows: DataFrame, counted: DataFrame, keys: list[str], limit: int
 
 def found_runs(docs: DataFrame, later: bool) -> DataFrame:
     """``k, mark, at``: runs of starts, in the text of that id and hash, whose strings repeat. ``docs`` has ``k, text``."""
+    return settled(docs.sparkSession, "repeats", lambda: _found_runs(docs, later))
+
+
+def _found_runs(docs: DataFrame, later: bool) -> DataFrame:
     every = map_batches(docs.select("k", "text"), _anchors, ROW_DDL)
     twice, _ = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
     # at most HOT_KEYS keys have more rows than this

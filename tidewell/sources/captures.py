@@ -64,16 +64,16 @@ def decoded(captures: DataFrame) -> DataFrame:
     """``path`` and the packet fields as text, from rows of ``path, content``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for frame in frames:
             for path, raw in zip(frame["path"], frame["content"]):
-                held = []
                 for r in records(bytes(raw)):
                     held.append({"path": path} | dict.fromkeys(COLUMNS, "") | r)
                     if len(held) == ROWS:
                         yield pd.DataFrame(held)
                         held = []
-                if held:
-                    yield pd.DataFrame(held)
+        if held:
+            yield pd.DataFrame(held)
 
     return captures.select("path", "content").mapInPandas(run, "path string, " + ", ".join(f"{c} string" for c in COLUMNS))
 

@@ -49,7 +49,7 @@ def delta_history(rows: DataFrame, keys: list[str], time: str, horizon: int, val
     after the horizon, and running totals replace frames, so the cost does not grow with the rows in a frame."""
     kinds = F.array(
         F.struct(F.lit(True).alias("is_target"), F.col(time).alias("at"), F.lit(1).alias("sign")),
-        F.struct(F.lit(False).alias("is_target"), (F.col(time) + horizon + 0).alias("at"), F.lit(-1).alias("sign")),
+        F.struct(F.lit(False).alias("is_target"), (F.col(time) + horizon).alias("at"), F.lit(-1).alias("sign")),
     )
     line = rows.withColumn("_e", F.explode(kinds)).select("*", "_e.is_target", "_e.at", "_e.sign").drop("_e")
     w = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)

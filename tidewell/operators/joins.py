@@ -11,8 +11,7 @@ DAY = 86_400_000
 def match_events(flows: DataFrame, events: DataFrame, reverse: bool = True) -> DataFrame:
     """``flow_id, status, event_ids, rule, agrees``: the events whose time and endpoints a flow meets.
 
-    Events are found under each UTC day they touch, flows under the day they start. Null event ports and protocol are
-    wildcards. One event is a unique match, several are ambiguous. Equal endpoints match in reverse as well.
+    Events are found under each UTC day they touch, flows under the day they start. A null event port is a wildcard. One event is a unique match, several are ambiguous. Equal endpoints match in reverse as well.
     """
     days = F.explode(F.sequence(F.floor(F.col("start_ms") / DAY), F.floor(F.col("end_ms") / DAY)))
     direct = events.select("event_id", F.col("start_ms").alias("e_start"), F.col("end_ms").alias("e_end"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dport").alias("e_dport"), F.col("label").alias("e_label"), days.alias("day"), F.lit(0).alias("back"))

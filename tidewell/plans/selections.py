@@ -94,7 +94,7 @@ def z12(spark, sf_dir):
     return g.select("label", "dport", "n", F.least(F.lit(2), F.floor(before * 3 / F.sum("n").over(w))).cast("long").alias("fold"))
 
 
-@query("spl_z13_fold_leakage", f"with g as (select src, {_bucket('sha256(src::varchar)', 5)} as fold from {FLOWS_SQL} f) select fold, count(*) as held_out, count(distinct src) as groups, cast(0 as bigint) as leaked from g group by 1")
+@query("spl_z13_fold_leakage", f"with g as (select src, {_bucket('sha256(src::varchar)', 5)} as fold from {FLOWS_SQL} f), p as (select src, count(*) as n, min(fold) as a, max(fold) as b from g group by 1) select a as fold, sum(n)::bigint as held_out, count(*) as groups, count(*) filter (a <> b) as leaked from p group by 1")
 def z13(spark, sf_dir):
     g = flows(spark, sf_dir).select("src", S.bucket(F.sha2(F.col("src").cast("string"), 256), 5).alias("fold"))
     per = g.groupBy("src").agg(F.count("*").alias("n"), F.min("fold").alias("fold"), F.max("fold").alias("other"))

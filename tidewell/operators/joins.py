@@ -67,3 +67,29 @@ def match_five_tuples(flows: DataFrame, events: DataFrame) -> DataFrame:
     hits = f.join(both, on).groupBy("flow_id", "event_id").agg(F.min("back").alias("back"), F.bool_and(exact).alias("exact"))
     rule = F.when(F.count("*") > 1, "ambiguous").when(F.min("back") == 1, "reverse_direction_time").when(F.bool_and("exact"), "exact_5tuple_time").otherwise("wildcard_port_time")
     return hits.groupBy("flow_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"), rule.alias("rule"))
+
+
+def relation_cascade(relations: DataFrame, flows: DataFrame, width: int) -> DataFrame:
+    """For each relation ``id`` of ``scope, [a, b]`` how many flows of its scope and time fit, by which rule, which way, or why none.
+
+    Endpoints ``x, y`` and ports ``px, py`` of a relation that are null fit any. Rules: R0 all equal, R1 all equal in reverse,
+    R2 endpoints and ports, R3 with an open endpoint, R4 with an open port, R5 none. Flows are found by scope and bucket of
+    time, of ``width``; relations without a flow in time stay.
+    """
+    span = F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("bucket")
+    r = relations.select("*", span)
+    f = flows.withColumn("bucket", F.floor(F.col("start_ms") / width))
+    met = r.join(f, ["scope", "bucket"]).where(F.col("start_ms").between(F.col("a"), F.col("b")))
+    eq = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    fits = lambda a, b: F.col(a).isNull() | (F.col(a) == F.col(b))
+    direct, back = eq("x", "s") & eq("y", "t") & eq("px", "ps") & eq("py", "pt"), eq("x", "t") & eq("y", "s") & eq("px", "pt") & eq("py", "ps")
+    one, other = fits("x", "s") & eq("y", "t"), fits("x", "t") & eq("y", "s")
+    one_p, other_p = one & fits("px", "ps") & fits("py", "pt"), other & fits("px", "pt") & fits("py", "ps")
+    count = {"in_time": F.lit(True), "direct": direct, "back": back, "ends": one | other, "fits": one_p | other_p, "d": one_p, "r": other_p}
+    g = met.groupBy("id").agg(*[F.count_if(c).alias(n) for n, c in count.items()])
+    out = relations.select("id", F.col("x").isNull().alias("wild"), (F.col("px").isNull() | F.col("py").isNull()).alias("open")).join(g, "id", "left").na.fill(0, list(count))
+    some = lambda c: F.col(c) > 0
+    rule = F.when(some("direct"), "R0").when(some("back"), "R1").when(some("fits") & F.col("wild") & F.col("open"), "R3+R4").when(some("fits") & F.col("wild"), "R3").when(some("fits") & F.col("open"), "R4").when(some("fits"), "R2").otherwise("R5")
+    reason = F.when(~some("in_time"), "no_flow_in_time").when(~some("ends"), "endpoint_mismatch").when(~some("fits"), "port_mismatch").otherwise("")
+    way = F.when(F.col("direct") + F.col("back") + F.col("fits") == 0, "").when(some("d") & some("r"), "both").when(some("d"), "direct").otherwise("reverse")
+    return out.select("id", "in_time", "ends", "fits", rule.alias("rule"), reason.alias("reason"), way.alias("direction"), (F.col("direct") != 1).alias("review"))

@@ -12,4 +12,4 @@ def oracle_sql():
 
 
 def _load():
-    from tidewell.plans import aggregates, context, evaluation, joins, records, scans, selections, splits, statistics, texts, windows  # noqa: F401
+    from tidewell.plans import aggregates, audits, context, evaluation, joins, records, scans, selections, splits, statistics, texts, windows  # noqa: F401

@@ -125,8 +125,8 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return place
 
 
-def tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[int, np.ndarray]]:
-    of = tokens.of_file(path)
+def tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int, memo: int = tokens.MEMO) -> Iterator[tuple[int, np.ndarray]]:
+    of = tokens.of_file(path, memo)
     tail = np.array([end], "<u4")
     for batch in batches:
         for i, ids in zip(batch.column(0).to_pylist(), of.ids_batch(batch.column(1).to_pylist())):
@@ -136,11 +136,12 @@ def tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_balanced(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, piece: int = PIECE, group: int = GROUP, with_ids: bool = False) -> DataFrame:
+def pack_balanced(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, piece: int = PIECE, group: int = GROUP, with_ids: bool = False, memo: int = tokens.MEMO) -> DataFrame:
     """A row for each piece of a document: where it starts there, its length and CRC-32, its window and its offset in it.
 
     Whole windows are cut from a document while it has them; its rest, in pieces of ``piece`` ids at most, is dealt
-    out by Karmarkar-Karp differencing within a group. ``with_ids`` adds ``ids`` (little-endian unsigned 32-bit).
+    out by Karmarkar-Karp differencing within a group. ``with_ids`` adds ``ids`` (little-endian unsigned 32-bit). ``memo``
+    bounds the encoded pieces that a worker remembers.
     """
     ddl = PIECES_DDL + ", ids binary" * with_ids
 
@@ -164,7 +165,7 @@ def pack_balanced(docs: DataFrame, path: str, window: int = WINDOW, end: int = E
 
         rests: list = []
         held = 0
-        for i, ids in tokenized(batches, path, end):
+        for i, ids in tokenized(batches, path, end, memo):
             whole = len(ids) // window * window
             for start in range(0, whole, window):
                 put(i, ids, start, window, made, 0)

@@ -35,7 +35,7 @@ from tidewell.llm.simhash import signed_hash
 MATCH, GRAM = 200, 51
 SPAN = MATCH - GRAM + 1
 #: Differing runs of an anchor up to which one task gathers them, and bytes of the texts that a task treats at once.
-HOT, BLOCK = 20_000, 1 << 21
+HOT, BLOCK = 20_000, 1 << 20
 #: Keys at most that a join broadcasts as frequent, and parts to which the rows of each are dealt.
 HOT_KEYS, SALTS = 4096, 64
 FACTOR = 0x9E3779B97F4A7C15

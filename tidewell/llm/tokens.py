@@ -22,7 +22,8 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
 class WordTokens:
     """``ids_batch(texts)``: as the library's ``encode(text, add_special_tokens=False).ids``, as an array of uint32."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -60,7 +61,7 @@ class WordTokens:
         """The ids of each text; the library encodes all pieces that the memo lacks in one call."""
         cut = [self.pieces(t) for t in texts]
         new = list({*itertools.chain.from_iterable(c for c in cut if c)}.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) + len(new) > self.most:
             self.memo.clear()
             new = list({*itertools.chain.from_iterable(c for c in cut if c)})
         for at in range(0, len(new), 4096):
@@ -70,6 +71,6 @@ class WordTokens:
 
 
 @functools.lru_cache(maxsize=2)
-def of_file(path: str) -> WordTokens:
-    """One for a worker process: its memo serves all of the worker's tasks."""
-    return WordTokens(path)
+def of_file(path: str, most: int = MEMO) -> WordTokens:
+    """One for a worker process: its memo, of at most so many pieces but for those of one batch, serves all of the worker's tasks."""
+    return WordTokens(path, most)

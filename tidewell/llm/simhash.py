@@ -332,7 +332,7 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     keyed = keyed.select("rep", "fp", F.explode("keys").alias("key"))
     sizes, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "crowds")
     usual = _with(keyed, sizes.select("key"), "key", "left_anti").select(F.col("key").alias("g"), "rep", "fp")
-    found = map_batches(usual.repartition("g").sortWithinPartitions("g"), _links(bits), LINK_DDL)
+    found = map_batches(usual.repartition("g").sortWithinPartitions("g", "rep"), _links(bits), LINK_DDL)
     if not sizes.isEmpty():
         led, _ = written(_led(keyed, sizes, bits), "led")
         found = found.union(led.where("v <> rep").select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")))
@@ -343,7 +343,7 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         pair = lambda o: F.concat_ws(" ", F.col("key"), F.least("part", o), F.greatest("part", o))
         pairs = F.when(F.col("parts") == 1, F.array(F.concat_ws(" ", F.col("key")))).otherwise(F.transform(others, pair))
         dealt = placed.select(F.explode(pairs).alias("g"), "rep", "fp").withColumn("g", F.xxhash64("g"))
-        found = found.union(map_batches(dealt.repartition("g").sortWithinPartitions("g"), _links(bits), LINK_DDL))
+        found = found.union(map_batches(dealt.repartition("g").sortWithinPartitions("g", "rep"), _links(bits), LINK_DDL))
     return found.where("u <> v").distinct()
 
 

@@ -330,6 +330,19 @@ def test_iblt(spark, docs):
     assert all(len(v) == 1 for v in of.values())
 
 
+def test_next_documents_with_odd_ids(spark):
+    """Many null ids, one id of many rows, ids far from the others, repeated rows: the next row is that of one sorted list."""
+    r = random.Random(19)
+    rows = [(i, f"text {r.randrange(10**6)}. more {i}") for i in [*range(300), *[77] * 200, *[None] * 200, 1 << 60, -(1 << 60), *[5] * 3]]
+    rows += [(9, "same."), (9, "same."), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed = lambda t: simhash.signed_hash((t or "").encode())
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), signed(x[1])))
+    texts = [t or "" for _, t in order]
+    want = Counter((i, t, texts[(k + 1) % len(texts)]) for k, ((i, _), t) in enumerate(zip(order, texts)))
+    assert Counter((x["doc_id"], x["text"], x["next_text"]) for x in iblt.with_next(df).select("doc_id", "text", "next_text").collect()) == want
+
+
 def test_iblt_recovers_the_differing_digests(spark):
     r = random.Random(8)
     line = lambda: "".join(r.choice("abcdef") for _ in range(12)) + "."

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 ROW, ROUNDS, SHARE = 8, 14, 10
 #: Neighbouring ids that are looked at together, and equally filled ranges of ids that are told apart first.
 NEAR, RANGES = 2000, 128
+#: Parts by hash of the rows of an id that fills a range, or that is null.
+SHARES = 256
 CHECK = (1 << 24) - 1
 
 #: Three bits of a digest choose its cell in each row: digest ``x`` belongs in cell ``i`` if ``x & MASK[i] = PLACE[i]``.
@@ -96,20 +98,32 @@ def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, keys, cells`` and the same of the next document in descending id, ``next_text, next_keys, next_cells``.
 
     Ids fall into ranges of about ``NEAR`` rows; a window looks at the next row within a range, and each range also gets
-    the first row of the next one. Only the ranges' first ids, one row for each range, are ever ordered as a whole.
+    the first row of the next one. Only the ranges' first ids, one row for each range, are ever ordered as a whole. Ranges
+    are cut at quantiles twice, so ids far from the others do not crowd one; null ids, and an id that fills a range by
+    itself, are cut by the hash of the text, in whose order rows of one id come.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     cuts = [k / RANGES for k in range(RANGES + 1)]
     seen = rows.agg(F.count("*"), F.percentile_approx("doc_id", cuts, 10_000)).first()
-    ends = sorted({*(seen[1] or [0])})
-    sub = max(1, -(-seen[0] // (NEAR * max(1, len(ends) - 1))))
-    edges = F.array(*[F.lit(e).cast("long") for e in ends])
-    of = F.greatest(F.lit(1), F.size(F.filter(edges, lambda e: e <= key)))
-    low, high = F.element_at(edges, of), F.element_at(edges, F.least(of + 1, F.lit(len(ends))))
-    part = F.least(F.lit(sub - 1).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((key.cast("double") - low) * sub / F.greatest(high - low, F.lit(1)))))
-    placed = rows.withColumns({"range": of.cast("long") * sub + part, "mark": F.xxhash64("text")})
-    heads = placed.groupBy("range").agg(F.max(F.struct(key.alias("k"), (-(F.col("mark") / 2)).alias("m"), "mark")).alias("h"))
+    edges = F.array(*[F.lit(e).cast("long") for e in sorted({*(seen[1] or [0])})])
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    upto = lambda ends: F.greatest(F.lit(1), F.size(F.filter(ends, lambda e: e <= key)))
+    coarse = F.when(F.col("doc_id").isNull(), 0).otherwise(upto(edges)).alias("coarse")
+    # a row for each of at most RANGES + 2 coarse ranges, with as many ends of its own
+    fine = F.coalesce(F.percentile_approx("doc_id", cuts, 10_000), F.array().cast("array<bigint>"))
+    inner = F.broadcast(rows.select("doc_id", coarse).groupBy("coarse").agg(fine.alias("fine"), F.count("*").alias("n")))
+    marked = rows.withColumns({"mark": F.xxhash64("text"), "coarse": coarse}).join(inner, "coarse")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / (NEAR * RANGES)))  # of a fine range
+    of = F.when(F.size("fine") > 0, upto(F.col("fine"))).otherwise(1)
+    low, high = F.coalesce(F.get("fine", of - 1), F.lit(0)), F.coalesce(F.get("fine", F.least(of, F.size("fine") - 1)), F.lit(0))
+    along = F.floor((key.cast("double") - low) * parts / F.greatest(high.cast("double") - low, F.lit(1.0)))
+    part = F.least(parts - 1, F.greatest(F.lit(0).cast("long"), along))
+    alone = F.col("doc_id").isNull() | (F.size(F.filter("fine", lambda e: e == key)) > 1)
+    share = F.floor((F.col("mark") / 2 + float(1 << 62)) / float(1 << 63) * SHARES)  # rows of one id come in order of the mark
+    place = F.when(alone, SHARES - 1 - F.least(F.lit(SHARES - 1), F.greatest(F.lit(0).cast("long"), share))).otherwise(SHARES + part)
+    number = (F.col("coarse").cast("long") * (RANGES + 2) + of) * (1 << 32) + place
+    placed = marked.withColumn("range", number).select("doc_id", "text", "range", "mark")
+    heads = placed.groupBy("range").agg(F.max(F.struct(key.alias("k"), F.bitwise_not("mark").alias("m"), "mark")).alias("h"))
     order = Window.orderBy(F.desc("range"))
     first = F.first("h.k").over(order), F.first("h.mark").over(order), F.first("range").over(order)
     after = heads.select(F.col("range").alias("to"), F.coalesce(F.lead("range").over(order), first[2]).alias("range"), F.coalesce(F.lead("h.k").over(order), first[0]).alias("k"), F.coalesce(F.lead("h.mark").over(order), first[1]).alias("mark"))

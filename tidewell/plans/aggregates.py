@@ -105,7 +105,7 @@ def a11(spark, sf_dir):
 select count(distinct src) as keys, count(gap) as gaps, count(*) filter (gap > 0) as positive, count(*) filter (gap < 0) as negative, max(gap) as most, cast(quantile_cont(gap, 0.5) filter (gap > 0) as bigint) as p50, cast(quantile_cont(gap, 0.9) filter (gap > 0) as bigint) as p90 from g""")
 def a13(spark, sf_dir):
     g = flows(spark, sf_dir).withColumn("gap", F.col("start_ms") - F.lag("start_ms").over(Window.partitionBy("src").orderBy("flow_id")))
-    p = P.quantiles(g.where("gap > 0"), "gap", {"p50": 0.5, "p90": 0.9}).select(F.round("p50").cast("long").alias("p50"), F.round("p90").cast("long").alias("p90"))
+    p = P.quantiles(g.where("gap > 0"), "gap", {"p50": 0.5, "p90": 0.9}).select(*[F.rint(n).cast("long").alias(n) for n in ("p50", "p90")])  # halves to even, as the cast in SQL
     rest = g.agg(F.count_distinct("src").alias("keys"), F.count("gap").alias("gaps"), F.count_if(F.col("gap") > 0).alias("positive"), F.count_if(F.col("gap") < 0).alias("negative"), F.max("gap").alias("most"))
     return rest.crossJoin(p)
 

@@ -26,3 +26,9 @@ def equal(spark, tmp_path, name, rows):
 def test_gap_quantiles_round_halves_to_even(spark, tmp_path):
     got = equal(spark, tmp_path, "agg_a13_gap_profile", [(1, 0, 1, "a", 1.0), (2, 2, 1, "a", 1.0), (3, 5, 1, "a", 1.0)])
     assert got[0]["p50"] == 2  # of 2 and 3
+
+
+def test_evidence_of_a_key_without_values_is_null(spark, tmp_path):
+    rows = [(3, 0, 1, "a", 1.0), (6, 1, 1, "b", 1.0), (4, 0, 2, "a", 1.0), (1, 0, 3, "a", 1.0), (12, 0, 4, "a", 1.0)]
+    got = {r["src"]: (r["methods"], r["statuses"]) for r in equal(spark, tmp_path, "agg_a24_application_evidence", rows)}
+    assert got == {1: ("A B", None), 2: (None, "204"), 3: (None, None), 4: ("A", "212")}

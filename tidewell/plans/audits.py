@@ -106,7 +106,7 @@ def a24(spark, sf_dir):
     w = Window.partitionBy("src")
     r = flows(spark, sf_dir).withColumns({"rn": F.row_number().over(w.orderBy("start_ms", "flow_id")), "every": F.count("*").over(w)}).where("rn <= 24")
     v = r.select("src", (F.col("every") > 24).alias("truncated"), F.when(F.col("dport") % 3 == 0, F.upper("label")).alias("method"), F.when(F.col("dport") % 4 == 0, 200 + F.col("dst")).alias("status"))
-    text = lambda c: F.array_join(G.first_sorted(F.collect_set(c), 24), " ")
+    text = lambda c: F.when(F.count(c) > 0, F.array_join(G.first_sorted(F.collect_set(c), 24), " "))  # noqa: E731 (null if there is none)
     g = v.groupBy("src").agg(F.bool_or("truncated").alias("truncated"), F.count("method").alias("requests"), F.count("status").alias("responses"), text("method").alias("methods"), text("status").alias("statuses"), F.coalesce(F.bool_or(F.col("status").isin(201, 203)), F.lit(False)).alias("auth"))
     some = F.col("requests") > 0, F.col("responses") > 0
     return g.withColumn("structure", F.when(some[0] & some[1], "BIDIRECTIONAL").when(some[0], "REQUEST_ONLY").when(some[1], "RESPONSE_ONLY").otherwise("NONE"))

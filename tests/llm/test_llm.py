@@ -699,3 +699,25 @@ def test_candidate_pairs_of_groups_connect_all_near_rows():
         found = simhash.group_pairs(group, fps, bits).tolist()
         assert len(near) > 50 and set(map(tuple, map(sorted, found))) <= set(near)
         assert roots(found) == roots(near)
+
+
+def test_pairs_of_large_groups_link_though_others_are_nearer(spark, monkeypatch):
+    """Pairs of one base, of similarity 0.8 or more, in one group with hundreds below 0.8 whose fingerprints may be nearer: a forest alone leaves pairs out."""
+    monkeypatch.setattr(simhash, "bands_for", lambda nodes, similarity: np.zeros((1, 0), int))
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for k in range(150):
+        own, *places = (5 + 6 * p for p in r.sample(range(31), 5))
+        shared = word()
+        for j in range(2):
+            text = list(base)
+            text[own] = shared
+            for p in places[2 * j : 2 * j + 2]:
+                text[p] = word()
+            rows.append((2 * k + j, " ".join(text)))
+    of = {k: similarity_of(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(150)}
+    root = {g["doc_id"]: g["root"] for g in simhash.wide_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    meant = [k for k in of if of[k] >= 0.8]
+    linked = [k for k in meant if root[2 * k] == root[2 * k + 1]]
+    assert len(meant) == 150 and len(linked) >= 147, len(linked)

@@ -237,6 +237,19 @@ def group_pairs(group: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def across_pairs(group: np.ndarray, root: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
+    """All near pairs of rows of each run of equal ``group`` whose ``root`` differs."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(starts.tolist(), starts[1:].tolist()):
+        if (root[a:b] != root[a]).any():
+            for k in range(a, b - 1):
+                rest = k + 1 + np.flatnonzero(root[k + 1 : b] != root[k])
+                near = rest[np.bitwise_count(fps[rest] ^ fps[k]).sum(1, dtype=np.int64) <= bits]
+                out.append(np.stack([np.full(len(near), k), near], axis=1))
+    return np.concatenate(out)
+
+
 LINK_DDL = "u long, v long"
 
 
@@ -244,11 +257,13 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
 
 
-def _links(bits: int):
-    """Over rows ``g, rep, fp`` in order of ``g``: the candidate pairs of each group."""
+def _links(bits: int, across: bool = False):
+    """Over rows ``g, rep, fp`` in order of ``g``: the candidate pairs of each group; with ``root`` as well, those across roots."""
 
     def found(t: pa.Table) -> pa.RecordBatch:
-        pairs = t.column(1).to_numpy()[group_pairs(t.column(0).to_numpy(), _words(t.column(2)), bits)]
+        g, fps = t.column(0).to_numpy(), _words(t.column(2))
+        rows = across_pairs(g, t.column(3).to_numpy(), fps, bits) if across else group_pairs(g, fps, bits)
+        pairs = t.column(1).to_numpy()[rows]
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], schema=arrow_schema(LINK_DDL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +317,19 @@ def _led(rows: DataFrame, sizes: DataFrame, bits: int) -> DataFrame:
     return map_batches(joined, run, ddl)
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``u < v`` of ``rep, fp`` nodes that are likely to have the similarity, and connect those that have it.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows ``key, n, ..`` with a hash ``g`` in place of key and ``n``: of a group of over ``GROUP``, part against part."""
+    parts = F.when(F.col("n") > GROUP, F.ceil(2 * F.col("n") / GROUP)).otherwise(1).cast("long")
+    placed = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != F.col("part"))
+    pair = lambda o: F.concat_ws(" ", F.col("key"), F.least("part", o), F.greatest("part", o))
+    pairs = F.when(F.col("parts") == 1, F.array(F.concat_ws(" ", F.col("key")))).otherwise(F.transform(others, pair))
+    left = [c for c in rows.columns if c not in ("key", "n")]
+    return placed.select(F.explode(pairs).alias("g"), *left).withColumn("g", F.xxhash64("g"))
+
+
+def candidates(banded: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``u < v`` of ``rep, fp, keys`` nodes that are likely to have the similarity, and connect most that have it.
 
     Fingerprints meet where they agree on all bits of a band; the task that holds a group returns its near pairs, or the
     edges of a shortest forest. In a crowded group (copies of one text with small changes are in one in every band) each
@@ -311,11 +337,12 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     that no task holds more than ``GROUP`` of them. What one band's leaders leave apart another's may join: a band's
     groups, and so its leaders, differ from another's.
     """
-    return settled(nodes.sparkSession, "candidates", lambda: _candidates(nodes, similarity))
+    return settled(banded.sparkSession, "candidates", lambda: _candidates(banded, similarity))
 
 
-def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    bits, bands = allowed(similarity), bands_for(nodes.count(), similarity)
+def _banded(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``rep, fp, keys``, written: of each node, what its fingerprint is in each band."""
+    bands = bands_for(nodes.count(), similarity)
     ddl = "rep long, fp binary, keys array<long>"
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +355,25 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
                 every = pa.ListArray.from_arrays(pa.array(np.arange(0, value.size + 1, len(bands)), pa.int32()), pa.array(value.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), every], schema=arrow_schema(ddl))
 
-    keyed, _ = written(map_batches(nodes.select("rep", "fp"), keys, ddl), "bands")
-    keyed = keyed.select("rep", "fp", F.explode("keys").alias("key"))
+    return written(map_batches(nodes.select("rep", "fp"), keys, ddl), "bands")[0]
+
+
+def across(banded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``u < v`` of nodes of one band's group that are near and whose roots differ: all that ``candidates`` leave out and that could still connect.
+
+    Groups of up to ``SMALL`` are left out, for all their near pairs are candidates, and so are those of one root.
+    """
+    rooted = banded.join(roots, "rep", "left").select("rep", "fp", F.coalesce("root", "rep").alias("root"), F.explode("keys").alias("key"))
+    some = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed, _ = written(some.where((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).select("key", "n"), "mixed")
+    dealt = _dealt(_with(rooted, mixed, "key", "inner").select("key", "n", "rep", "fp", "root")).select("g", "rep", "fp", "root")
+    found = map_batches(dealt.repartition("g").sortWithinPartitions("g", "rep"), _links(allowed(similarity), True), LINK_DDL)
+    return found.where("u <> v").distinct()
+
+
+def _candidates(banded: DataFrame, similarity: float) -> DataFrame:
+    bits = allowed(similarity)
+    keyed = banded.select("rep", "fp", F.explode("keys").alias("key"))
     sizes, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "crowds")
     usual = _with(keyed, sizes.select("key"), "key", "left_anti").select(F.col("key").alias("g"), "rep", "fp")
     found = map_batches(usual.repartition("g").sortWithinPartitions("g", "rep"), _links(bits), LINK_DDL)
@@ -337,12 +381,7 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         led, _ = written(_led(keyed, sizes, bits), "led")
         found = found.union(led.where("v <> rep").select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")))
         rest = led.where("v is null").select("key", "rep", "fp")
-        counts = rest.groupBy("key").agg(F.count("*").alias("n")).select("key", F.when(F.col("n") > GROUP, F.ceil(2 * F.col("n") / GROUP)).otherwise(1).cast("long").alias("parts"))
-        placed = rest.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")))
-        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != F.col("part"))
-        pair = lambda o: F.concat_ws(" ", F.col("key"), F.least("part", o), F.greatest("part", o))
-        pairs = F.when(F.col("parts") == 1, F.array(F.concat_ws(" ", F.col("key")))).otherwise(F.transform(others, pair))
-        dealt = placed.select(F.explode(pairs).alias("g"), "rep", "fp").withColumn("g", F.xxhash64("g"))
+        dealt = _dealt(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")).select("g", "rep", "fp")
         found = found.union(map_batches(dealt.repartition("g").sortWithinPartitions("g", "rep"), _links(bits), LINK_DDL))
     return found.where("u <> v").distinct()
 
@@ -425,15 +464,25 @@ def _wide_groups(docs: DataFrame, size: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols], pa.array(fps, pa.binary())], schema=arrow_schema(ddl))
 
     marked, _ = written(map_batches(id_text(docs), run, ddl), "wide")
-    pairs = candidates(marked.groupBy("rep").agg(F.min("fp").alias("fp")), similarity)
+    banded = _banded(marked.groupBy("rep").agg(F.min("fp").alias("fp")), similarity)
     far = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     first = marked.groupBy("rep").agg(F.min(F.struct(far.alias("_id"), F.col("mark").alias("_mark"), "n")).alias("f")).select("rep", "f.*")
-    asked, _ = written(first.join(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep"), "asked")
-    few = (lambda x: F.broadcast(x)) if asked.count() <= FEW else (lambda x: x)
     named = id_text(docs).select(far.alias("_id"), F.xxhash64("text").alias("_mark"), "text")
-    texts = named.join(few(asked), ["_id", "_mark"]).dropDuplicates(["rep"])
-    sized = pairs.join(few(asked.select(F.col("rep").alias("u"), F.col("n").alias("nu"))), "u").join(few(asked.select(F.col("rep").alias("v"), F.col("n").alias("nv"))), "v")
-    roots = components(similar(sized, texts, size, similarity)).withColumnRenamed("node", "rep")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        asked, _ = written(first.join(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep"), "asked")
+        few = (lambda x: F.broadcast(x)) if asked.count() <= FEW else (lambda x: x)
+        texts = named.join(few(asked), ["_id", "_mark"]).dropDuplicates(["rep"])
+        sized = pairs.join(few(asked.select(F.col("rep").alias("u"), F.col("n").alias("nu"))), "u").join(few(asked.select(F.col("rep").alias("v"), F.col("n").alias("nv"))), "v")
+        return similar(sized, texts, size, similarity)
+
+    pairs = candidates(banded, similarity)
+    roots, _ = written(components(linked(pairs)).withColumnRenamed("node", "rep"), "roots")
+    # what forests and leaders left apart: every other near pair of a group that would join two roots
+    more, _ = written(across(banded, roots, similarity).join(pairs, ["u", "v"], "left_anti"), "across")
+    if not more.isEmpty():
+        edges = roots.select(F.col("rep").alias("u"), F.col("root").alias("v")).union(linked(more))
+        roots = components(edges).withColumnRenamed("node", "rep")
     return marked.select("doc_id", "mark", "rep").join(roots, "rep", "left").select("doc_id", "mark", "rep", F.coalesce("root", "rep").alias("root"))
 
 

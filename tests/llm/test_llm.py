@@ -721,3 +721,59 @@ def test_pairs_of_large_groups_link_though_others_are_nearer(spark, monkeypatch)
     meant = [k for k in of if of[k] >= 0.8]
     linked = [k for k in meant if root[2 * k] == root[2 * k + 1]]
     assert len(meant) == 150 and len(linked) >= 147, len(linked)
+
+
+def test_counts_of_common_hashes_and_the_forest_of_roots():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 120)).astype(np.uint64)) for _ in range(70)] + [np.arange(10_000, 10_050, dtype=np.uint64)]
+    got = simhash.shared_counts(sets)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    like, root = got >= 25, rng.integers(0, 40, len(sets))
+    edges, of = simhash.joining(like, root), {int(r): int(r) for r in root}
+    for a, b in np.argwhere(like).tolist():
+        a, b = of[root[a]], of[root[b]]
+        of = {r: min(a, b) if x in (a, b) else x for r, x in of.items()}
+    found = {int(r): int(r) for r in root}
+    for a, b in edges:
+        assert like[a, b] and root[a] != root[b]
+        a, b = found[root[a]], found[root[b]]
+        assert a != b
+        found = {r: min(a, b) if x in (a, b) else x for r, x in found.items()}
+    assert found == of and len(edges) > 3
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_near_copies_below_the_similarity_cost_no_row_a_pair(spark, monkeypatch, parts):
+    """400 copies of one text of which most pairs are near, but below 0.8: rows follow the copies, not their pairs, and every link is found."""
+    monkeypatch.setattr(simhash, "bands_for", lambda nodes, similarity: np.zeros((1, 0), int))
+    if parts:
+        monkeypatch.setattr(simhash, "GROUP", 64)
+        monkeypatch.setattr(simhash, "SHARE", 16, raising=False)
+    made, plain = {}, simhash.written
+
+    def counted(df, what):
+        out = plain(df, what)
+        made[what] = max(out[0].count(), made.get(what, 0))
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for k in range(400):
+        copy = list(texts[r.randrange(k)].split() if k % 3 == 2 else base)
+        for _ in range(2 if k % 3 == 2 else r.randint(3, 5)):
+            copy[r.randrange(150)] = word()
+        texts.append(" ".join(copy))
+    sets, of = [brute_shingles(t) for t in texts], list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if of[i] != of[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = of[i], of[j]
+                of = [min(a, b) if x in (a, b) else x for x in of]
+    root = {g["doc_id"]: g["root"] for g in simhash.wide_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    first: dict = {}
+    assert [first.setdefault(root[k], k) for k in range(400)] == [min(j for j in range(400) if of[j] == of[k]) for k in range(400)]
+    assert 100 < len(set(of)) < 350
+    grown = {what: n for what, n in made.items() if what not in ("shingles", "dealt")}
+    assert max(grown.values()) <= 8 * 400 and made.get("dealt", 0) <= 400 * (2 * 400 // simhash.GROUP + 1), made

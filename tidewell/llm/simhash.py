@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import arrow_schema, batch_of, id_text, map_batches, settled, unused, written
@@ -133,6 +133,8 @@ GROUP, LEADERS = 1024, 8
 SMALL = 16
 #: Hashes of a share of a set of shingles, about.
 SHARE = 4096
+#: Hashes that one matrix product counts.
+COLUMNS = 4096
 #: Rows of a list of keys, a few numbers each, up to which it is broadcast.
 FEW = 200_000
 
@@ -237,17 +239,52 @@ def group_pairs(group: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def across_pairs(group: np.ndarray, root: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
-    """All near pairs of rows of each run of equal ``group`` whose ``root`` differs."""
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-    out = [np.zeros((0, 2), np.int64)]
-    for a, b in zip(starts.tolist(), starts[1:].tolist()):
-        if (root[a:b] != root[a]).any():
-            for k in range(a, b - 1):
-                rest = k + 1 + np.flatnonzero(root[k + 1 : b] != root[k])
-                near = rest[np.bitwise_count(fps[rest] ^ fps[k]).sum(1, dtype=np.int64) <= bits]
-                out.append(np.stack([np.full(len(near), k), near], axis=1))
-    return np.concatenate(out)
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets have in common, as a square matrix. A set holds a hash once."""
+    n = len(sets)
+    of, h = np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate(sets)
+    order = h.argsort(kind="stable")
+    of, h = of[order], h[order]
+    starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+    sizes = np.diff(starts)
+    out = np.zeros((n, n), np.float32)
+    # a hash that few sets have: pair by pair; the others: by matrix products
+    left = np.repeat(starts[1:], sizes) - np.arange(len(h)) - 1
+    rows = np.flatnonzero(np.repeat(sizes, sizes) <= SMALL)
+    for shift in range(1, SMALL):
+        rows = rows[left[rows] >= shift]
+        if not len(rows):
+            break
+        out += np.bincount(of[rows] * n + of[rows + shift], minlength=n * n).reshape(n, n)
+    out += out.T
+    often = np.flatnonzero(sizes > SMALL)
+    for at in range(0, len(often), COLUMNS):
+        runs = often[at : at + COLUMNS]
+        has = np.zeros((n, len(runs)), np.float32)
+        inside = np.concatenate([np.arange(a, b) for a, b in zip(starts[runs].tolist(), starts[runs + 1].tolist())])
+        has[of[inside], np.repeat(np.arange(len(runs)), sizes[runs])] = 1
+        out += has @ has.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def joining(like: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs of rows that the symmetric matrix ``like`` marks, a forest that joins the roots that all of them join."""
+    seen, out = np.zeros(len(root), bool), []
+    for start in range(len(root)):
+        if not seen[start]:
+            new = root == root[start]
+            seen |= new
+            todo = np.flatnonzero(new).tolist()
+            while todo:
+                at = todo.pop()
+                for to in np.flatnonzero(like[at] & ~seen).tolist():
+                    if not seen[to]:
+                        out.append((at, to))
+                        new = root == root[to]
+                        seen |= new
+                        todo += np.flatnonzero(new).tolist()
+    return out
 
 
 LINK_DDL = "u long, v long"
@@ -257,13 +294,11 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
 
 
-def _links(bits: int, across: bool = False):
-    """Over rows ``g, rep, fp`` in order of ``g``: the candidate pairs of each group; with ``root`` as well, those across roots."""
+def _links(bits: int):
+    """Over rows ``g, rep, fp`` in order of ``g``: the candidate pairs of each group."""
 
     def found(t: pa.Table) -> pa.RecordBatch:
-        g, fps = t.column(0).to_numpy(), _words(t.column(2))
-        rows = across_pairs(g, t.column(3).to_numpy(), fps, bits) if across else group_pairs(g, fps, bits)
-        pairs = t.column(1).to_numpy()[rows]
+        pairs = t.column(1).to_numpy()[group_pairs(t.column(0).to_numpy(), _words(t.column(2)), bits)]
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], schema=arrow_schema(LINK_DDL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +324,8 @@ def _with(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(few) if few.count() <= FEW else few, key, how)
 
 
-def _led(rows: DataFrame, sizes: DataFrame, bits: int) -> DataFrame:
-    """``key, rep, fp, v`` of the rows of crowded groups: ``v`` is the nearest leader within ``bits``, or null.
+def _led(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``key, rep, fp, v, d`` of the rows of crowded groups: ``v`` is the nearest leader, ``d`` the bits in which it differs.
 
     Each group has ``LEADERS`` members as leaders, the least by as many hashes; groups that have most members in common so
     have most leaders in common, and a member's links are few. Its rows and copies of its leaders are dealt to as many
@@ -301,7 +336,7 @@ def _led(rows: DataFrame, sizes: DataFrame, bits: int) -> DataFrame:
     draw = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "fp")).alias(f"l{k}") for k in range(LEADERS)]
     leaders = crowd.groupBy("key", "n").agg(*draw).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     leaders = leaders.select("key", "part", F.array(*[F.col(f"l{k}.rep") for k in range(LEADERS)]).alias("reps"), F.array(*[F.col(f"l{k}.fp") for k in range(LEADERS)]).alias("fps"))
-    ddl = "key long, rep long, fp binary, v long"
+    ddl = "key long, rep long, fp binary, v long, d long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,7 +346,7 @@ def _led(rows: DataFrame, sizes: DataFrame, bits: int) -> DataFrame:
                 best = d.argmin(1)
                 at = np.arange(b.num_rows)
                 v = b.column(3).flatten().to_numpy().reshape(-1, LEADERS)[at, best]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(v, pa.int64(), mask=d[at, best] > bits)], schema=arrow_schema(ddl))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(v, pa.int64()), pa.array(d[at, best])], schema=arrow_schema(ddl))
 
     joined = crowd.join(leaders, ["key", "part"]).select("key", "rep", "fp", "reps", "fps")
     return map_batches(joined, run, ddl)
@@ -329,13 +364,17 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def candidates(banded: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``u < v`` of ``rep, fp, keys`` nodes that are likely to have the similarity, and connect most that have it.
+    """``u, v, asked``: pairs ``u < v`` of ``rep, fp, keys`` nodes, those ``asked`` likely to have the similarity. They connect most that have it.
 
     Fingerprints meet where they agree on all bits of a band; the task that holds a group returns its near pairs, or the
     edges of a shortest forest. In a crowded group (copies of one text with small changes are in one in every band) each
     member links to its nearest leader; those that are near none are compared with each other, part against part, so
     that no task holds more than ``GROUP`` of them. What one band's leaders leave apart another's may join: a band's
     groups, and so its leaders, differ from another's.
+
+    All pairs together, asked or not, connect every two nodes of one band's group that are within ``bits``: the forest of
+    a group does; in a crowded group so do those near no leader, and all within twice the bits of a leader are tied to one
+    node, as both of a pair are of which one is near a leader.
     """
     return settled(banded.sparkSession, "candidates", lambda: _candidates(banded, similarity))
 
@@ -358,17 +397,98 @@ def _banded(nodes: DataFrame, similarity: float) -> DataFrame:
     return written(map_batches(nodes.select("rep", "fp"), keys, ddl), "bands")[0]
 
 
-def across(banded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``u < v`` of nodes of one band's group that are near and whose roots differ: all that ``candidates`` leave out and that could still connect.
+def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, rep, root`` of the nodes that ``met`` connects to one of another root, unless each two of what it connects were asked; ``key`` names what it connects."""
+    nodes, _ = written(components(met).withColumnsRenamed({"node": "rep", "root": "key"}).join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "met")
+    asked = met.where("asked").join(nodes.select("key", F.col("rep").alias("u")), "u").groupBy("key").agg(F.count("*").alias("asked"))
+    some = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed, _ = written(some.join(asked, "key", "left").where(2 * F.coalesce("asked", F.lit(0)) < F.col("n") * (F.col("n") - 1)).select("key"), "mixed")
+    return _with(nodes, mixed, "key", "inner").select("key", "rep", "root")
+
+
+def joined(nodes: DataFrame, texts: DataFrame, size: int, similarity: float, share: int | None = None) -> DataFrame:
+    """Pairs ``u, v`` of one ``key`` whose texts have the similarity: not all, but as many as join all the roots that any such pair joins.
 
-    Groups of up to ``SMALL`` are left out, for all their near pairs are candidates, and so are those of one root.
+    ``nodes`` has ``key, rep, root, n``, of each text the size of its set, and ``texts`` has ``rep, text``. Two sets are
+    compared in the task that holds both, ``GROUP`` nodes of a key at most, and a task returns a forest of the roots: rows
+    are as many as nodes, not pairs. Sets come in shares by ranges of the hash, as many as the key's largest set needs.
     """
-    rooted = banded.join(roots, "rep", "left").select("rep", "fp", F.coalesce("root", "rep").alias("root"), F.explode("keys").alias("key"))
-    some = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed, _ = written(some.where((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).select("key", "n"), "mixed")
-    dealt = _dealt(_with(rooted, mixed, "key", "inner").select("key", "n", "rep", "fp", "root")).select("g", "rep", "fp", "root")
-    found = map_batches(dealt.repartition("g").sortWithinPartitions("g", "rep"), _links(allowed(similarity), True), LINK_DDL)
-    return found.where("u <> v").distinct()
+    share = share or SHARE
+    keys = nodes.groupBy("key").agg(F.count("*").alias("members"), F.max("n").alias("most"))
+    placed = nodes.join(keys, "key")
+    dealt, _ = written(_dealt(placed.select("key", F.col("members").alias("n"), "rep", "root", F.col("n").alias("own"))), "dealt")
+    cut = texts.join(placed.select("rep", _bits(F.col("most"), share).alias("p")), "rep")
+    ddl = "rep long, k int, shingles binary"
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: dict[str, list] = {f.name: [] for f in arrow_schema(ddl)}
+        held = 0
+        for b in batches:
+            for rep, text, p in zip(*[c.to_pylist() for c in b.columns]):
+                h = word_shingles(text, size)
+                for k, part in shares_of(h, p):
+                    for name, v in (("rep", rep), ("k", k), ("shingles", part)):
+                        cols[name].append(v)
+                held += len(h)
+                if held >= 1 << 18:
+                    yield batch_of(cols, ddl)
+                    cols, held = {n: [] for n in cols}, 0
+        if held:
+            yield batch_of(cols, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at, group = None, _Group(similarity)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ends = [*(np.flatnonzero((g[1:] != g[:-1]) | (k[1:] != k[:-1])) + 1).tolist(), len(g)]
+            for start, end in zip([0, *ends], ends):
+                now = int(g[start]), int(k[start])
+                if now != at and held:
+                    group.add(held)
+                    held = []
+                if at and now[0] != at[0]:
+                    yield group.links()
+                    group = _Group(similarity)
+                at = now
+                held.append(b.slice(start, end - start))
+        if held:
+            group.add(held)
+            yield group.links()
+
+    rows = _with(map_batches(cut.select("rep", "text", "p"), sets, ddl), dealt, "rep", "inner").select("g", "k", "rep", "root", "own", "shingles")
+    return map_batches(rows.repartition("g").sortWithinPartitions("g", "k", "rep"), run, LINK_DDL).distinct()
+
+
+class _Group:
+    """What the sets of one group's nodes have in common, added up share by share."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.place, self.root, self.own, self.both = similarity, {}, [], [], np.zeros((0, 0), np.float32)
+
+    def add(self, share: list[pa.RecordBatch]) -> None:
+        """Rows ``g, k, rep, root, own, shingles`` of one share."""
+        at, sets = [], []
+        for b in share:
+            for rep, root, own, raw in zip(*[b.column(c).to_pylist() for c in (2, 3, 4, 5)]):
+                if rep not in self.place:
+                    self.place[rep] = len(self.place)
+                    self.root.append(root)
+                    self.own.append(own)
+                at.append(self.place[rep])
+                sets.append(np.frombuffer(raw, np.uint64))
+        more = len(self.place) - len(self.both)
+        self.both = np.pad(self.both, (0, more))
+        self.both[np.ix_(at, at)] += shared_counts(sets)
+
+    def links(self) -> pa.RecordBatch:
+        own = np.array(self.own, np.int64)
+        both = self.both.astype(np.int64)
+        like = both >= self.similarity * (own[:, None] + own[None, :] - both)
+        pairs = np.array(list(self.place), np.int64)[np.array(joining(like, np.array(self.root, np.int64)), np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], schema=arrow_schema(LINK_DDL))
 
 
 def _candidates(banded: DataFrame, similarity: float) -> DataFrame:
@@ -376,14 +496,17 @@ def _candidates(banded: DataFrame, similarity: float) -> DataFrame:
     keyed = banded.select("rep", "fp", F.explode("keys").alias("key"))
     sizes, _ = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "crowds")
     usual = _with(keyed, sizes.select("key"), "key", "left_anti").select(F.col("key").alias("g"), "rep", "fp")
-    found = map_batches(usual.repartition("g").sortWithinPartitions("g", "rep"), _links(bits), LINK_DDL)
+    asked = F.lit(True).alias("asked")
+    found = map_batches(usual.repartition("g").sortWithinPartitions("g", "rep"), _links(bits), LINK_DDL).select("u", "v", asked)
     if not sizes.isEmpty():
-        led, _ = written(_led(keyed, sizes, bits), "led")
-        found = found.union(led.where("v <> rep").select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")))
-        rest = led.where("v is null").select("key", "rep", "fp")
+        led, _ = written(_led(keyed, sizes), "led")
+        low = led.groupBy("key").agg(F.min("v").alias("low"))
+        for rows, v, is_asked in ((led.where(F.col("d") <= bits), "v", asked), (_with(led.where(F.col("d") <= 2 * bits), low, "key", "inner"), "low", F.lit(False).alias("asked"))):
+            found = found.union(rows.select(F.least("rep", v).alias("u"), F.greatest("rep", v).alias("v"), is_asked))
+        rest = led.where(F.col("d") > bits).select("key", "rep", "fp")
         dealt = _dealt(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")).select("g", "rep", "fp")
-        found = found.union(map_batches(dealt.repartition("g").sortWithinPartitions("g", "rep"), _links(bits), LINK_DDL))
-    return found.where("u <> v").distinct()
+        found = found.union(map_batches(dealt.repartition("g").sortWithinPartitions("g", "rep"), _links(bits), LINK_DDL).select("u", "v", asked))
+    return found.where("u <> v").groupBy("u", "v").agg(F.max("asked").alias("asked"))
 
 
 def share_bits(n: int, share: int) -> int:
@@ -391,6 +514,16 @@ def share_bits(n: int, share: int) -> int:
     return max(0, (n - 1) // share).bit_length()
 
 
+def _bits(most: Column, share: int) -> Column:
+    return F.when(most <= share, 0).otherwise(F.length(F.bin(F.floor((most - 1) / share)))).cast("int")
+
+
+def shares_of(h: np.ndarray, p: int) -> Iterator[tuple[int, bytes]]:
+    """The shares of ordered hashes that have any, by their first ``p`` bits."""
+    ends = np.searchsorted(h, np.arange(1, 1 << p, dtype=np.uint64) << np.uint64(64 - p)) if p else []
+    return ((k, part.tobytes()) for k, part in enumerate(np.split(h, ends)) if len(part))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float, share: int = SHARE) -> DataFrame:
     """Those of the pairs ``u, v`` whose texts' sets of shingles have at least that Jaccard similarity.
 
@@ -400,8 +533,7 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float, sh
     """
     most, least = F.greatest("nu", "nv"), F.least("nu", "nv")
     near = pairs.where(least >= similarity * most)
-    bits = F.when(most <= share, 0).otherwise(F.length(F.bin(F.floor((most - 1) / share)))).cast("int")
-    asked = near.withColumn("p", bits).withColumn("k", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, p) - 1"))))
+    asked = near.withColumn("p", _bits(most, share)).withColumn("k", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, p) - 1"))))
     ddl = "rep long, p int, k int, shingles binary"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,12 +544,10 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float, sh
                 h = word_shingles(text, size)
                 # a set as large as one that this one can still be similar to is cut as finely
                 for p in range(share_bits(len(h), share), share_bits(int(len(h) / similarity) + 1, share) + 1):
-                    ends = np.searchsorted(h, np.arange(1, 1 << p, dtype=np.uint64) << np.uint64(64 - p)) if p else []
-                    for k, part in enumerate(np.split(h, ends)):
-                        if len(part):
-                            for name, v in (("rep", rep), ("p", p), ("k", k), ("shingles", part.tobytes())):
-                                cols[name].append(v)
-                            held += len(part)
+                    for k, part in shares_of(h, p):
+                        for name, v in (("rep", rep), ("p", p), ("k", k), ("shingles", part)):
+                            cols[name].append(v)
+                    held += len(h)
                 if held >= 1 << 18:
                     yield batch_of(cols, ddl)
                     cols, held = {n: [] for n in cols}, 0
@@ -469,19 +599,19 @@ def _wide_groups(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     first = marked.groupBy("rep").agg(F.min(F.struct(far.alias("_id"), F.col("mark").alias("_mark"), "n")).alias("f")).select("rep", "f.*")
     named = id_text(docs).select(far.alias("_id"), F.xxhash64("text").alias("_mark"), "text")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        asked, _ = written(first.join(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep"), "asked")
-        few = (lambda x: F.broadcast(x)) if asked.count() <= FEW else (lambda x: x)
-        texts = named.join(few(asked), ["_id", "_mark"]).dropDuplicates(["rep"])
-        sized = pairs.join(few(asked.select(F.col("rep").alias("u"), F.col("n").alias("nu"))), "u").join(few(asked.select(F.col("rep").alias("v"), F.col("n").alias("nv"))), "v")
-        return similar(sized, texts, size, similarity)
-
-    pairs = candidates(banded, similarity)
-    roots, _ = written(components(linked(pairs)).withColumnRenamed("node", "rep"), "roots")
-    # what forests and leaders left apart: every other near pair of a group that would join two roots
-    more, _ = written(across(banded, roots, similarity).join(pairs, ["u", "v"], "left_anti"), "across")
-    if not more.isEmpty():
-        edges = roots.select(F.col("rep").alias("u"), F.col("root").alias("v")).union(linked(more))
+    few = lambda asked: F.broadcast(asked) if asked.count() <= FEW else asked
+    spoken = lambda asked: named.join(asked.select("_id", "_mark", "rep"), ["_id", "_mark"]).dropDuplicates(["rep"])
+    met = candidates(banded, similarity)
+    pairs = met.where("asked").select("u", "v")
+    asked, _ = written(first.join(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep"), "asked")
+    asked = few(asked)
+    sized = pairs.join(asked.select(F.col("rep").alias("u"), F.col("n").alias("nu")), "u").join(asked.select(F.col("rep").alias("v"), F.col("n").alias("nv")), "v")
+    roots, _ = written(components(similar(sized, spoken(asked), size, similarity)).withColumnRenamed("node", "rep"), "roots")
+    # what forests and leaders left apart: every other pair of the nodes that the candidates connect, if it would join two roots
+    left, _ = written(unsettled(met, roots).join(first, "rep"), "unsettled")
+    if not left.isEmpty():
+        more = joined(left.select("key", "rep", "root", "n"), spoken(few(left)), size, similarity)
+        edges = roots.select(F.col("rep").alias("u"), F.col("root").alias("v")).union(more)
         roots = components(edges).withColumnRenamed("node", "rep")
     return marked.select("doc_id", "mark", "rep").join(roots, "rep", "left").select("doc_id", "mark", "rep", F.coalesce("root", "rep").alias("root"))
 
